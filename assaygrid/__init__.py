@@ -1 +1,8 @@
-"""assaygrid: feature-by-sample measurement tables analysed with Spark DataFrames."""
+"""Spark-native analytics for feature-by-sample measurement tables."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so a cluster needs no installed copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -12,6 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 _lgamma = np.frompyfunc(lambda v: math.lgamma(v) if v > 0 else math.nan, 1, 1)
 _erfc = np.frompyfunc(math.erfc, 1, 1)
@@ -225,18 +226,18 @@ def _series(values, like):
     return pd.Series(np.asarray(values, float), index=like.index)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_sf(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided Student t tail."""
     return _series(t_two_sided(t, df), t)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_ppf(p: pd.Series, df: pd.Series) -> pd.Series:
     return _series(t_quantile(p, df), p)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def f_sf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     f, d1, d2 = (np.asarray(v, float) for v in (f, d1, d2))
     with np.errstate(all="ignore"):
@@ -244,49 +245,49 @@ def f_sf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series(beta_inc(d2 / 2, d1 / 2, x))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def beta_cdf(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     return _series(beta_inc(a, b, x), x)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     return _series(gamma_upper(np.asarray(df, float) / 2, np.asarray(x, float) / 2), x)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def norm_sf(z: pd.Series) -> pd.Series:
     """Two-sided normal tail."""
     return _series(2 * norm_tail(np.abs(np.asarray(z, float))), z)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def norm_upper(z: pd.Series) -> pd.Series:
     """One-sided upper normal tail."""
     return _series(norm_tail(z), z)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def norm_ppf(p: pd.Series) -> pd.Series:
     return _series(norm_quantile(p), p)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def hyper_sf(k: pd.Series, big_n: pd.Series, big_k: pd.Series, n: pd.Series) -> pd.Series:
     return _series(hyper_tail(k, big_n, big_k, n), k)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def srange_sf(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
     return _series(range_tail(q, k, df), q)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def product_normal_sf(c: pd.Series, rho: pd.Series) -> pd.Series:
     return _series(product_tail(c, rho), c)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def mwu_exact_sf(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     return _series(mwu_tail(u, n1, n2), u)
 

@@ -16,7 +16,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared is None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        shared = tempfile.mkdtemp(prefix="assaygrid-ckpt-")
+        shared = tempfile.mkdtemp(prefix="assaygrid-ckpt-")  # only a local test session comes here
     sc.setCheckpointDir(shared)
 
 
