@@ -82,10 +82,14 @@ class WordHasher:
     def __call__(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hash, start and end of each word, and each row's offsets into them."""
         starts, ends = self.spans(data, offs)
+        return self.hashed(data, starts, ends), starts, ends, np.searchsorted(starts, offs)
+
+    def hashed(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the byte spans, given in order; a very long row is hashed in pieces that begin and end between words."""
         self._grow(min(len(data), SLICE_BYTES * 2) + 1)
         out = np.empty(len(starts), np.uint64)
         done = 0
-        while done < len(starts):  # a very long row is hashed in pieces that begin and end between words
+        while done < len(starts):
             lo = starts[done]
             upto = max(done + 1, int(np.searchsorted(ends, lo + SLICE_BYTES, "right")))
             hi = ends[upto - 1]
@@ -95,7 +99,7 @@ class WordHasher:
             s, e = starts[done:upto] - lo, ends[done:upto] - lo
             out[done:upto] = (sums[e] - sums[s]) * self.inverse[s] + (e - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             done = upto
-        return mix(out), starts, ends, np.searchsorted(starts, offs)
+        return mix(out)
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:

@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from assaygrid.llm.op01_tokens import op1_token_counts
+from assaygrid.llm.op06_toxicity import op6_toxicity
+from assaygrid.llm.op07_decontaminate import op7_benchmark_decontamination
 from assaygrid.llm.op08_minhash import op8_minhash_near_duplicates
+from assaygrid.llm.op09_mixing import op9_mix_sources, op9_sql
 from assaygrid.llm.op10_secrets import op10_secret_scan
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op8_minhash_near_duplicates, op10_secret_scan)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_counts, op6_toxicity, op7_benchmark_decontamination, op8_minhash_near_duplicates, op9_mix_sources, op10_secret_scan)
+}
+SQL: dict[str, str] = {"op9_mix_sources": op9_sql()}

@@ -1,6 +1,8 @@
 """A training corpus from raw documents: stages that each read what the one before has kept.
 
-Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame.
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last
+return the columns of ``docs``.  Rows with a null doc_id pass the filters (they are scored, never grouped); null
+texts are clean.
 """
 
 from __future__ import annotations
@@ -9,16 +11,34 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
+from assaygrid.llm.base import table
+from assaygrid.llm.op06_toxicity import score_toxicity
+from assaygrid.llm.op07_decontaminate import found_items
 from assaygrid.llm.op08_minhash import near_duplicates
+from assaygrid.llm.op09_mixing import sampled_documents
 from assaygrid.llm.op10_secrets import redact_secrets
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # the classifier and the confirmed near-duplicate components are beyond SQL
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is not among ``ids`` (one column doc_id)."""
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def without_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.5 or more go; the labels that cover this stage's documents are learned from."""
+    return without(docs, score_toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1"))
 
 
 def one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, similarity 0.8) stays: the smallest doc_id."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    return without(docs, near_duplicates(docs).filter("not kept"))
+
+
+def without_benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, literally or with changed slots, go."""
+    return without(docs, found_items(docs, table(spark, sf_dir, "benchmark")))
 
 
 def without_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,12 +46,19 @@ def without_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return redact_secrets(docs)
 
 
+def to_target_mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample of the documents in the target proportions, with its topic and probability."""
+    return sampled_documents(docs)
+
+
 STAGES = [
+    ("toxicity", without_toxic),
     ("near_duplicates", one_of_each_group),
+    ("benchmark", without_benchmark),
     ("secrets", without_secrets),
+    ("mixing", to_target_mix),
 ]
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return reduce(lambda d, stage: stage[1](spark, d, sf_dir), STAGES, docs)
+    return reduce(lambda docs, stage: stage[1](spark, docs, sf_dir), STAGES, table(spark, sf_dir, "documents"))
