@@ -5,11 +5,12 @@ of positions that differ.  From the similarity bound follows the distance ``t``
 probability below ``miss``; every pair within ``t`` is found: cut into t//2 + 1 chunks, some chunk of such a pair has
 at most one differing position (pigeonhole), so each chunk is keyed with every position left out once.
 
-Links are confirmed on full sets.  Texts with the same set are one class.  A bucket (key) does not emit its pairs:
-every member is measured against the bucket's smallest member r, links are joined to components, and only members
-that are still apart are compared with each other, unless the triangle inequality of the Jaccard distance
-(|d(r,u) - d(r,w)| > 1 - bound) or the set sizes rule the link out.  No link between components is lost, and
-no bucket is capped.
+Links are confirmed on full sets.  Texts with the same set are one class.  No bucket emits its pairs.  The buckets
+with the same smallest member form one group; its members are measured against the group's pivot (the member that
+agrees best with the group's commonest signature values), and the links found are joined to components.  Only
+members of a group in different components are compared with each other, inside the condition of one join that
+emits nothing but links: set sizes, what the overlap with the pivot allows, the signature distance, and last the full
+sets.  So no link between components is lost, no bucket is capped, and large groups of copies give few rows.
 
 Null or blank texts have an empty set and link with nothing.  Rows with a null doc_id link with nothing and have a
 null component (kept is true).  Repeated rows are answered row by row; a doc_id that stands for several texts is one
@@ -23,7 +24,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaygrid.llm.base import WordHasher, components, mix, signed, slices, table, text_bytes, windows
@@ -55,7 +56,7 @@ def shingle_sets(words, data, offs, k: int):
 
 
 def signatures(docs: DataFrame, k: int, positions: int, seed: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, set_id, sig): set_id is a 128-bit digest of the set, null for empty sets."""
+    """(doc_id, n_shingles, set_id, sig): set_id is a 128-bit digest of the set, null for empty sets; sig holds four values a long."""
 
     def run(batches):
         words = WordHasher()
@@ -75,13 +76,13 @@ def signatures(docs: DataFrame, k: int, positions: int, seed: int = 5) -> DataFr
                     for i in range(0, len(s), 4096):
                         low = np.minimum(low, (s[i : i + 4096] * mul + add).min(axis=1))
                     ids.append(np.array([np.sum(mix(s + np.uint64(1))), np.sum(mix(s * np.uint64(3)))], np.uint64).tobytes())
-                    sigs.append(mix(low).astype(np.uint16).tobytes())
+                    sigs.append(mix(low).astype(np.uint16).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())],
+                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))],
                     ["doc_id", "n_shingles", "set_id", "sig"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_id binary, sig binary")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_id binary, sig array<bigint>")
 
 
 def chunk_keys(sigs: np.ndarray, t: int) -> np.ndarray:
@@ -109,7 +110,7 @@ def bucket_members(reps: DataFrame, positions: int, t: int) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
-                sigs = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, positions)
+                sigs = np.asarray(part.column("sig").flatten()).view(np.uint16).reshape(-1, positions)
                 keys = chunk_keys(sigs, t)
                 ids = np.repeat(np.asarray(part.column("id")), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([signed(keys.ravel()), pa.array(ids)], ["key", "id"])
@@ -133,14 +134,27 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "id bigint, items array<bigint>")
 
 
-def measured(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """``pairs`` (a, b) with the sizes of the intersection and the union of their full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut_lineage(full_sets(docs, ids, k))
-    left, right = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(right, "b").join(left, "a")
-    inter = F.size(F.array_intersect("x", "y")).cast("bigint")
-    return both.select("a", "b", inter.alias("inter"), (F.size("x") + F.size("y") - inter).alias("uni"))
+def differing(u: str, w: str, longs: int) -> Column:
+    """How many 16-bit values of two signatures differ."""
+    total = F.lit(0)
+    for j in range(longs):
+        x = F.get(F.col(u), F.lit(j)).bitwiseXOR(F.get(F.col(w), F.lit(j)))
+        for n in (8, 4, 2, 1):  # the lowest bit of each value tells whether any of its bits is set
+            x = x.bitwiseOR(F.shiftrightunsigned(x, n))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+    return total
+
+
+def with_pivot(groups: DataFrame, longs: int) -> DataFrame:
+    """``groups`` (r, id, sig, ...) with pivot p: the member sharing most of the group's commonest values, then the smallest."""
+    values = groups.select("r", F.posexplode(F.transform("sig", lambda x: x.bitwiseAND(F.lit(0xFFFF)))).alias("j", "v"))
+    common = values.groupBy("r", "j", "v").agg(F.count(F.lit(1)).alias("c")).groupBy("r", "j").agg(F.max(F.struct("c", "v")).alias("m"))
+    common = common.groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct("j", "m.v"))).alias("common"))  # one value for each long
+    agree = F.lit(0)
+    for j in range(longs):
+        agree = agree + (F.get("sig", F.lit(j)).bitwiseAND(F.lit(0xFFFF)) == F.try_element_at("common", F.lit(j))).cast("int")
+    best = groups.join(common, "r").select("r", "id", agree.alias("agree")).groupBy("r").agg(F.max(F.struct("agree", -F.col("id"))).alias("x"))
+    return groups.join(best.select("r", (-F.col("x.col2")).alias("p")), "r")
 
 
 def near_duplicates(
@@ -151,12 +165,12 @@ def near_duplicates(
     Documents are linked when 100 * |A ∩ B| >= percent * |A ∪ B| over their sets of ``shingle`` consecutive words.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    t = distance_bound(positions, percent / 100, miss)
+    t, longs = distance_bound(positions, percent / 100, miss), positions // 4
     sig = cut_lineage(signatures(docs, shingle, positions))
     classes = cut_lineage(
         sig.filter("set_id is not null and doc_id is not null")
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n"))
+        .agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"))
     )
     members = bucket_members(classes, positions, t)
     stats = members.groupBy("key").agg(
@@ -164,36 +178,37 @@ def near_duplicates(
     )
     # many keys hold the same members: one of them is enough
     buckets = stats.filter("size > 1").groupBy("size", "r", "who").agg(F.min("key").alias("key")).select("key", "r")
-    members = cut_lineage(members.join(buckets, "key").filter("id <> r").select("key", "r", "id"))
-    star = members.select(F.col("r").alias("a"), F.col("id").alias("b")).distinct()
-    star = cut_lineage(measured(docs, star, shingle))
-    link = F.col("inter") * 100 >= F.col("uni") * percent
-    links = star.filter(link).select("a", "b")
+    groups = cut_lineage(members.join(buckets, "key").select("r", "id").distinct())
+    sets = cut_lineage(full_sets(docs, groups.select("id").distinct(), shingle))
+    groups = cut_lineage(with_pivot(groups.join(classes.select("id", "sig"), "id"), longs))
+    # the sets of pivots are needed once a group, the members' own once a member of a group
+    pivots = groups.select("r", "p").distinct().join(sets.select(F.col("id").alias("p"), F.col("items").alias("y")), "p")
+    own = groups.join(sets.select("id", F.col("items").alias("x")), "id")
+    both = F.size(F.array_intersect("x", "y"))
+    star = own.join(pivots, ["r", "p"]).select("r", "p", "id", F.size("x").alias("n"), both.alias("i"), F.size("y").alias("np"))
+    star = cut_lineage(star)
+    links = star.filter("id <> p").filter(F.col("i") * 100 >= (F.col("n") + F.col("np") - F.col("i")) * percent).select(F.col("id").alias("a"), F.col("p").alias("b"))
     comp = components(links)
-    # members still apart from others of their bucket
-    where = members.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "r", "id", F.coalesce("component", "id").alias("comp"))
-    apart = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    dist = star.select(F.col("a").alias("r"), F.col("b").alias("id"), (1 - F.col("inter") / F.col("uni")).alias("d"))
-    open_ = (
-        where.join(apart, "key")
-        .join(dist, ["r", "id"])
-        .join(classes.select("id", "n", "sig"), "id")
-        .select("key", "id", "comp", "d", "n", "sig")
-    )
-    open_ = cut_lineage(open_)
-    u = open_.select("key", *[F.col(c).alias(f"u_{c}") for c in open_.columns[1:]])
-    w = open_.select("key", *[F.col(c).alias(f"w_{c}") for c in open_.columns[1:]])
-    gap = 1 - percent / 100
-    may = (
+    where = star.join(comp.withColumnRenamed("node", "id"), "id", "left").select("r", "id", "n", "i", F.coalesce("component", "id").alias("comp"))
+    apart = where.groupBy("r").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("r")
+    where = cut_lineage(where.join(apart, "r"))
+    open_ = where.join(own.select("r", "id", "sig", "x"), ["r", "id"])
+    u = open_.select("r", *[F.col(c).alias(f"u_{c}") for c in open_.columns if c != "r"])
+    w = open_.select("r", *[F.col(c).alias(f"w_{c}") for c in open_.columns if c != "r"])
+    # |u ∩ w| must reach percent / (100 + percent) of both sizes; outside the pivot's set it is at most the smaller rest
+    most = F.least("u_i", "w_i") + F.least(F.col("u_n") - F.col("u_i"), F.col("w_n") - F.col("w_i"))
+    enough = lambda i: i * (100 + percent) >= (F.col("u_n") + F.col("w_n")) * percent
+    linked = (
         (F.col("u_id") < F.col("w_id"))
         & (F.col("u_comp") != F.col("w_comp"))
-        & (F.abs(F.col("u_d") - F.col("w_d")) <= gap + 1e-9)
         & (F.least("u_n", "w_n") * 100 >= F.greatest("u_n", "w_n") * percent)
+        & enough(most)
+        & (differing("u_sig", "w_sig", longs) <= t)
+        & enough(F.size(F.array_intersect("u_x", "w_x")))
     )
-    rest = u.join(w, "key").filter(may).select(F.col("u_id").alias("a"), F.col("w_id").alias("b")).distinct()
-    rest = cut_lineage(rest)
-    if not rest.isEmpty():
-        comp = components(links.union(measured(docs, rest, shingle).filter(link).select("a", "b")))
+    more = cut_lineage(u.join(w, "r").filter(linked).select(F.col("u_id").alias("a"), F.col("w_id").alias("b")))
+    if not more.isEmpty():
+        comp = components(links.union(more))
     named = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("set_id", F.coalesce("component", "id").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     cid = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
