@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from assaygrid.llm.op01_tokens import op1_token_counts
+from assaygrid.llm.op03_embeddings import OP3_SQL, op3_embedding_near_duplicates
+from assaygrid.llm.op04_language import op4_language_id
 from assaygrid.llm.op06_toxicity import op6_toxicity
 from assaygrid.llm.op07_decontaminate import op7_benchmark_decontamination
 from assaygrid.llm.op08_minhash import op8_minhash_near_duplicates
@@ -11,6 +13,15 @@ from assaygrid.llm.op10_secrets import op10_secret_scan
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op6_toxicity, op7_benchmark_decontamination, op8_minhash_near_duplicates, op9_mix_sources, op10_secret_scan)
+    for f in (
+        op1_token_counts,
+        op3_embedding_near_duplicates,
+        op4_language_id,
+        op6_toxicity,
+        op7_benchmark_decontamination,
+        op8_minhash_near_duplicates,
+        op9_mix_sources,
+        op10_secret_scan,
+    )
 }
-SQL: dict[str, str] = {"op9_mix_sources": op9_sql()}
+SQL: dict[str, str] = {"op3_embedding_near_duplicates": OP3_SQL, "op9_mix_sources": op9_sql()}
