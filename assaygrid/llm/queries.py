@@ -5,6 +5,7 @@ from __future__ import annotations
 from assaygrid.llm.op01_tokens import op1_token_counts
 from assaygrid.llm.op03_embeddings import OP3_SQL, op3_embedding_near_duplicates
 from assaygrid.llm.op04_language import op4_language_id
+from assaygrid.llm.op05_html import op5_main_text
 from assaygrid.llm.op06_toxicity import op6_toxicity
 from assaygrid.llm.op07_decontaminate import op7_benchmark_decontamination
 from assaygrid.llm.op08_minhash import op8_minhash_near_duplicates
@@ -17,6 +18,7 @@ QUERIES = {
         op1_token_counts,
         op3_embedding_near_duplicates,
         op4_language_id,
+        op5_main_text,
         op6_toxicity,
         op7_benchmark_decontamination,
         op8_minhash_near_duplicates,
