@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from assaygrid.llm.op01_tokens import op1_token_counts
+from assaygrid.llm.op02_repeats import op2_repeated_strings
 from assaygrid.llm.op03_embeddings import OP3_SQL, op3_embedding_near_duplicates
 from assaygrid.llm.op04_language import op4_language_id
 from assaygrid.llm.op05_html import op5_main_text
@@ -16,6 +17,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts,
+        op2_repeated_strings,
         op3_embedding_near_duplicates,
         op4_language_id,
         op5_main_text,
