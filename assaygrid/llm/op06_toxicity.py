@@ -163,20 +163,18 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int, terms: int, chi: floa
     """The index, or the score of all texts when the labels teach nothing."""
     known = labels.select(F.col("doc_id").cast("bigint"), F.col("toxic").cast("int").alias("y")).filter("y in (0, 1)")
     known = known.filter(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0).distinct()
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
-    rows = rows.withColumn("at", F.xxhash64("text"))
-    totals = {r.y: r.n for r in rows.groupBy("y").agg(F.countDistinct("at").alias("n")).collect()}
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).withColumn("at", F.xxhash64("text"))
+    # labels meet hashes of texts, not texts; equal texts of a label are one
+    told = cut_lineage(rows.select("doc_id", "at").join(known, "doc_id").groupBy("y", "at").agg(F.min("doc_id").alias("doc_id")))
+    totals = {r.y: r.n for r in told.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
         return float(next(iter(totals), 0))
-    # the threshold hash that about ``examples`` texts of a label lie under; then exactly the smallest of them
+    # first the hashes below a threshold that some more than ``examples`` of a label lie under, then exactly the smallest
     share = F.when(F.col("y") == 1, min(1.0, 1.2 * examples / totals[1] + 50 / totals[1])).otherwise(min(1.0, 1.2 * examples / totals[0] + 50 / totals[0]))
-    rows = rows.filter((F.col("at") / 2.0**64 + 0.5) <= share)
-    found = term_rows(rows, "doc_id bigint, y int, at bigint")
-    found = found.groupBy("y", "at").agg(F.min(F.struct("doc_id", "words")).alias("x")).select("y", "at", "x.doc_id", "x.words")
-    found = found.withColumn("_n", F.row_number().over(Window.partitionBy("y").orderBy("at"))).filter(F.col("_n") <= examples).drop("_n")
-
-
-    found = cut_lineage(found)
+    few = told.filter((F.col("at") / 2.0**64 + 0.5) <= share)
+    few = few.withColumn("_n", F.row_number().over(Window.partitionBy("y").orderBy("at"))).filter(F.col("_n") <= examples).drop("_n")
+    # at most 2 * examples rows go to every task
+    found = cut_lineage(term_rows(rows.join(F.broadcast(few), ["doc_id", "at"]), "doc_id bigint, y int, at bigint").dropDuplicates(["doc_id", "y", "at"]))
     n = {r.y: r.n for r in found.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     df = found.select("y", F.explode("words").alias("w")).groupBy("w.h").agg(
