@@ -21,6 +21,7 @@ from assaygrid.session import cut_lineage
 
 DIMS = ("source", "lang", "topic")
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.6}
+FEW_CELLS = 10_000  # a cell table up to this size is broadcast and raked in one partition, a larger one by exchanges
 WORD = r"[^ \t\n\x0B\f\r]+"
 
 
@@ -47,7 +48,9 @@ def rake(cells: DataFrame, rounds: int, temper: dict[str, float], shares: dict[s
         whole = sums.agg(F.sum("_w").alias("_sw"), F.sum("_t").alias("_st")).first()
         goal = F.col("_w") / F.lit(whole["_sw"] or 1.0) * F.lit(whole["_st"] or 0.0)
         out = out.join(sums.select(d, goal.alias(f"goal_{d}")), d)
-    out = out.withColumn("w", F.col("tokens").cast("double"))
+    out = cut_lineage(out.withColumn("w", F.col("tokens").cast("double")))
+    if out.count() <= FEW_CELLS:  # a checked size; in one partition the windows need no exchange
+        out = out.coalesce(1)
     for r in range(rounds):
         for d in DIMS:
             out = out.withColumn("w", F.col("w") * F.try_divide(F.col(f"goal_{d}"), F.sum("w").over(Window.partitionBy(d))))
@@ -79,7 +82,7 @@ def mix(docs: DataFrame, rate: float = 0.5, rounds: int = 16, temper=None, share
     raked = cut_lineage(rake(cells, rounds, TEMPER if temper is None else temper, shares))
     s = sampling_scale(raked, rate)
     prob = raked.select(*DIMS, F.least(F.lit(1.0), F.col("w") * s / F.col("tokens")).alias("prob"))
-    if prob.count() <= 10_000:  # a checked size; a larger cell table is joined by its keys
+    if raked.count() <= FEW_CELLS:  # a checked size; a larger cell table is joined by its keys
         prob = F.broadcast(prob)
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / 2.0**32
     out = rows.join(prob, list(DIMS), "left").withColumn("prob", F.coalesce("prob", F.lit(0.0)))
