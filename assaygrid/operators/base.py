@@ -1,154 +1,130 @@
 """Scale-safe building blocks shared by the operators.
 
-Every per-group ordering goes through value-range buckets, so that one group holding a large share of all
-rows is still sorted by many tasks.  Ties are collapsed to (value, count) before the first shuffle.
+Orderings inside a key never put a whole key into one task: distinct values with their counts are range-partitioned
+by (key, value), ordered inside each range, and the ranges' totals are carried over by a table with one row for each
+(key, range).  Where a key's rows are bounded by the study design the caller says so and one plain window does.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_GROUP = 20_000  # groups up to this many distinct values are ordered in one piece
-SPLITS = 128
-ACCURACY = 10_000
+from assaygrid.session import cut_lineage
+
+METHODS = ("bh", "by", "holm", "bonferroni", "none")
+
+
+def col(c) -> Column:
+    return c if isinstance(c, Column) else F.col(c)
 
 
 def div(a, b) -> Column:
     """a / b with NULL for a zero denominator."""
-    return F.try_divide(a if isinstance(a, Column) else F.col(a), b if isinstance(b, Column) else F.col(b))
+    return F.try_divide(col(a), col(b))
 
 
 def rnd(c, digits: int = 6) -> Column:
-    return F.round(c if isinstance(c, Column) else F.col(c), digits)
+    """Rounded value without negative zero."""
+    return F.round(col(c), digits) + F.lit(0.0)
 
 
 def count_if(cond: Column) -> Column:
     return F.coalesce(F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))), F.lit(0)).cast("bigint")
 
 
-def _keyed(df: DataFrame, keys):
-    if keys:
-        return df, list(keys), False
-    return df.withColumn("_all", F.lit(0)), ["_all"], True
-
-
-def value_buckets(df: DataFrame, keys, value: str) -> DataFrame:
-    """Distinct values per key with their count and a bucket number that grows with the value."""
-    distinct = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
-    points = [i / SPLITS for i in range(1, SPLITS)]
-    splits = (
-        distinct.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_nd"),
-            F.percentile_approx(value, points, ACCURACY).alias("_s"),
-        )
-        .select(*keys, F.when(F.col("_nd") > SMALL_GROUP, F.array_distinct("_s")).alias("_s"))
-    )
-    bucket = F.coalesce(F.size(F.filter("_s", lambda s: s < F.col(value))), F.lit(0))
-    return (
-        distinct.join(splits, list(keys))
-        .withColumn("bucket", F.when(F.col("_s").isNull(), 0).otherwise(bucket))
-        .drop("_s")
-    )
-
-
-def bucket_scan(d: DataFrame, keys, value: str, source: Column, out: str, how: str, reverse: bool = False) -> DataFrame:
-    """Inclusive running sum / min / max over (bucket, value) inside each key."""
-    fn = {"sum": F.sum, "min": F.min, "max": F.max}[how]
-    col = F.col(value).desc() if reverse else F.col(value).asc()
-    bcol = F.col("bucket").desc() if reverse else F.col("bucket").asc()
-    inner = Window.partitionBy(*keys, "bucket").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    outer = Window.partitionBy(*keys).orderBy(bcol).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_src", source)
-    carry = (
-        d.groupBy(*keys, "bucket").agg(fn("_src").alias("_t")).withColumn("_carry", fn("_t").over(outer)).drop("_t")
-    )
-    run = d.withColumn("_run", fn("_src").over(inner)).join(carry, [*keys, "bucket"])
-    if how == "sum":
-        total = F.col("_run") + F.coalesce(F.col("_carry"), F.lit(0))
-    elif how == "min":
-        total = F.least("_run", "_carry")
-    else:
-        total = F.greatest("_run", "_carry")
-    return run.withColumn(out, total).drop("_src", "_run", "_carry")
-
-
-def rank_table(df: DataFrame, keys, value: str) -> DataFrame:
-    """Per distinct value: cnt, n_le (values <= it), n_less and the mid-rank (ties averaged)."""
-    d, ks, plain = _keyed(df, keys)
-    t = bucket_scan(value_buckets(d, ks, value), ks, value, F.col("cnt"), "n_le", "sum")
-    t = t.withColumn("n_less", F.col("n_le") - F.col("cnt")).withColumn(
-        "mid_rank", F.col("n_less") + (F.col("cnt") + 1) / 2.0
-    )
-    return t.drop("_all") if plain else t
+def number(c) -> Column:
+    """NaN is NULL: only NULL means missing."""
+    return F.when(~F.isnan(col(c)), col(c))
 
 
-def add_mid_rank(df: DataFrame, keys, value: str, out: str = "mid_rank") -> DataFrame:
-    """Average rank of each row's value inside its key; NULL values get no rank."""
-    t = rank_table(df, keys, value).select(*keys, value, F.col("mid_rank").alias(out))
-    return df.join(t, [*keys, value], "left")
+def join_same(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Join on equal keys, NULL equal to NULL; the right side's keys are dropped."""
+    keys = list(keys)
+    if not keys:
+        raise ValueError("join_same needs keys")
+    names = {k: f"_r_{k}" for k in keys}
+    r = right.withColumnsRenamed(names)
+    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[names[k]]) for k in keys])
+    return left.join(r, cond, how).drop(*names.values())
 
 
-def exact_quantiles(df: DataFrame, keys, value: str, probs, names) -> DataFrame:
-    """Exact linear-interpolation quantiles per key without ordering a whole large group.
+def ordered_values(df: DataFrame, keys, value: str) -> DataFrame:
+    """(keys, value, cnt, _b, n_less, n_le, n_all) for the distinct values of each key; NULL and NaN are left out.
 
-    Groups above SMALL_GROUP rows are narrowed first: the approximate quantile sketch brackets each target
-    position, and only the values inside the bracket are ordered; values below it are counted.
+    _b numbers the ranges; it grows with the value inside a key.
     """
-    d, ks, plain = _keyed(df.select(*keys, value).filter(F.col(value).isNotNull()), keys)
-    pad = 3 / ACCURACY
-    lows = F.percentile_approx(value, [max(0.0, p - pad) for p in probs], ACCURACY)
-    highs = F.percentile_approx(value, [min(1.0, p + pad) for p in probs], ACCURACY)
-    bounds = d.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"), lows.alias("_lo"), highs.alias("_hi"))
-    big = F.col("_n") > SMALL_GROUP
-    v = F.col(value)
-    cells = F.array(
-        *[
-            F.when(
-                ~big | (v <= F.col("_hi")[j]),
-                F.struct(
-                    F.lit(j).alias("j"),
-                    F.when(~big | (v >= F.col("_lo")[j]), v).alias("v"),
-                ),
-            )
-            for j in range(len(probs))
-        ]
-    )
-    counted = (
-        d.join(bounds, ks)
-        .select(*ks, "_n", F.explode(F.array_compact(cells)).alias("c"))
-        .groupBy(*ks, "_n", F.col("c.j").alias("j"), F.col("c.v").alias("v"))
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
-    order = Window.partitionBy(*ks, "j").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("j") + 1)
-    pos = (F.col("_n") - 1) * prob
-    placed = (
-        counted.withColumn("_cum", F.sum("cnt").over(order))
-        .withColumn("_h", pos)
-        .withColumn("_k0", F.floor("_h"))
-        .withColumn("_k1", F.ceil("_h"))
-    )
-    covers = lambda k: (F.col("_cum") > F.col(k)) & (F.col("_cum") - F.col("cnt") <= F.col(k))
-    two = placed.groupBy(*ks, "j").agg(
-        F.max(F.when(covers("_k0"), F.col("v"))).alias("v0"),
-        F.max(F.when(covers("_k1"), F.col("v"))).alias("v1"),
-        F.max(F.col("_h") - F.col("_k0")).alias("w"),
-    )
-    two = two.withColumn("q", F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("w"))
-    out = two.groupBy(*ks).agg(*[F.max(F.when(F.col("j") == j, F.col("q"))).alias(n) for j, n in enumerate(names)])
-    return out.drop("_all") if plain else out
-
-
-def exact_median(df: DataFrame, keys, value: str, out: str = "median") -> DataFrame:
-    return exact_quantiles(df, keys, value, [0.5], [out])
+    keys = list(keys)
+    v = number(value) if dict(df.dtypes)[value] in ("double", "float") else F.col(value)
+    d = df.select(*keys, v.alias(value)).filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
+    d = cut_lineage(d.repartitionByRange(*keys, value).withColumn("_b", F.spark_partition_id()))
+    inner = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranges = d.groupBy(*keys, "_b").agg(F.sum("cnt").alias("_t"))
+    # one row for each (key, range)
+    outer = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = outer.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*keys, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"), F.sum("_t").over(outer).alias("n_all"))
+    run = join_same(d.withColumn("_run", F.sum("cnt").over(inner)), ranges, [*keys, "_b"])
+    n_le = F.col("_run") + F.col("_before")
+    return run.select(*keys, value, "cnt", "_b", (n_le - F.col("cnt")).alias("n_less"), n_le.alias("n_le"), "n_all")
+
+
+def carried(d: DataFrame, keys, value: str, source: Column, out: str, how: str) -> DataFrame:
+    """Running max over rising values (``how`` max) or running min over falling values (``how`` min) of ``source``."""
+    keys = list(keys)
+    fn, order = (F.max, lambda c: F.col(c).asc()) if how == "max" else (F.min, lambda c: F.col(c).desc())
+    d = d.withColumn("_s", source)
+    inner = Window.partitionBy(*keys, "_b").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)
+    outer = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(order("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = d.groupBy(*keys, "_b").agg(fn("_s").alias("_t")).select(*keys, "_b", fn("_t").over(outer).alias("_c"))
+    both = F.greatest if how == "max" else F.least
+    return join_same(d.withColumn("_run", fn("_s").over(inner)), ranges, [*keys, "_b"]).withColumn(out, both("_run", "_c")).drop("_s", "_run", "_c")
+
+
+def mid_ranks(df: DataFrame, keys, value: str, out: str = "mid_rank", bounded: bool = False) -> DataFrame:
+    """Average rank of each row's value inside its key; NULL and NaN get no rank."""
+    keys = list(keys)
+    df = df.withColumn(value, number(value))
+    if bounded:
+        w = Window.partitionBy(*keys)
+        rank = F.rank().over(w.orderBy(F.col(value).asc_nulls_last())) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2
+        return df.withColumn(out, F.when(F.col(value).isNotNull(), rank))
+    df = cut_lineage(df)  # the values are joined back: they must not be computed twice
+    t = ordered_values(df, keys, value).select(*keys, value, (F.col("n_less") + (F.col("cnt") + 1) / 2).alias(out))
+    return join_same(df, t, [*keys, value], "left")
+
+
+def top_k(df: DataFrame, keys, order, k: int, out: str = "place") -> DataFrame:
+    """The first k rows of each key; ranked per partition of the input first, so a large key is cut before it is gathered."""
+    part = df.withColumn("_p", F.spark_partition_id())
+    early = part.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(*order))).filter(F.col("_n") <= k).drop("_n", "_p")
+    return early.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(out) <= k)
+
+
+def quantiles(df: DataFrame, keys, value: str, probs, names, bounded: bool = False) -> DataFrame:
+    """Exact linear-interpolation quantiles per key (no keys: one row)."""
+    keys = list(keys)
+    df = df.withColumn(value, number(value))
+    if bounded:
+        ps = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]))
+        return df.groupBy(*keys).agg(ps.alias("_q")).select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    t = ordered_values(df, keys, value)
+    cells = []
+    for i, p in enumerate(probs):
+        at = (F.col("n_all") - 1) * F.lit(float(p))
+        holds = lambda k: (F.col("n_less") <= k) & (k < F.col("n_le"))
+        lo = F.max(F.when(holds(F.floor(at)), F.col(value)))
+        hi = F.max(F.when(holds(F.ceil(at)), F.col(value)))
+        part = F.max(at - F.floor(at))
+        cells.append((lo + (hi - lo) * part).alias(names[i]))
+    return t.groupBy(*keys).agg(*cells)
 
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Add the columns of a one-row aggregate to every row (scalar subquery shape)."""
-    a = one_row.withColumn("_one", F.lit(1))
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(a), "_one").drop("_one")
+    """Add the columns of a one-row aggregate to every row."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
 def _harmonic(m: Column) -> Column:
@@ -158,48 +134,47 @@ def _harmonic(m: Column) -> Column:
     return F.when(m <= 64, exact).otherwise(tail)
 
 
-def p_adjust(df: DataFrame, p: str, keys=(), method: str = "bh", out: str = "q", family_size: str | None = None) -> DataFrame:
-    """Multiple-testing adjustment inside each key; NULL p is neither ranked nor counted.
+def p_adjust(df: DataFrame, p: str, keys=(), method: str = "bh", out: str = "q", family_size: str | None = None, bounded: bool = False) -> DataFrame:
+    """Multiple-testing adjustment inside each key; NULL and NaN p are neither ranked nor counted and stay NULL.
 
-    ``family_size`` names a column with a larger number of tests m than there are rows.
+    ``family_size`` names a column with a larger number of tests than there are rows.  ``bounded``: the families are
+    small by design (pairs of a few factor levels) and one window orders each.
     """
+    if method not in METHODS:
+        raise ValueError(f"unknown adjustment {method!r}")
+    keys = list(keys)
+    df = df.withColumn(p, number(p))
     if method == "none":
         return df.withColumn(out, F.col(p))
-    d, ks, plain = _keyed(df, keys)
-    src = d.filter(F.col(p).isNotNull())
-    size = src.groupBy(*ks).agg(
-        (F.max(family_size) if family_size else F.count(F.lit(1))).cast("double").alias("_m")
-    )
+    if bounded:
+        w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+        m = (F.max(family_size).over(w) if family_size else F.count(p).over(w)).cast("double")
+        d = df.withColumn("_m", m).withColumn("_le", F.count(p).over(w.orderBy(F.col(p).asc_nulls_last()).rangeBetween(Window.unboundedPreceding, 0)))
+        less = F.count(p).over(w.orderBy(F.col(p).asc_nulls_last()).rangeBetween(Window.unboundedPreceding, 0)) - F.count(p).over(Window.partitionBy(*keys, p))
+        d = d.withColumn("_less", less)
+        val = _adjusted(method, p)
+        if method == "holm":
+            val = F.max(val).over(w.orderBy(F.col(p).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
+        elif method != "bonferroni":
+            val = F.min(val).over(w.orderBy(F.col(p).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
+        return d.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), val))).drop("_m", "_le", "_less")
+    df = cut_lineage(df)  # q is joined back on p: p must not be computed twice
+    t = ordered_values(df, keys, p).withColumnsRenamed({"n_le": "_le", "n_less": "_less"}).withColumn("_m", F.col("n_all").cast("double"))
+    if family_size:
+        sizes = df.filter(F.col(p).isNotNull()).groupBy(*keys).agg(F.max(family_size).cast("double").alias("_m"))
+        t = join_same(t.drop("_m"), sizes, keys) if keys else attach_scalars(t.drop("_m"), sizes)
     if method == "bonferroni":
-        res = d.join(size, ks, "left").withColumn(out, F.least(F.lit(1.0), F.col(p) * F.col("_m"))).drop("_m")
-        return res.drop("_all") if plain else res
-    t = bucket_scan(value_buckets(src, ks, p), ks, p, F.col("cnt"), "_le", "sum").join(size, ks)
-    if method in ("bh", "by"):
-        penalty = _harmonic(F.col("_m")) if method == "by" else F.lit(1.0)
-        t = bucket_scan(t, ks, p, F.col(p) * F.col("_m") * penalty / F.col("_le"), out, "min", reverse=True)
-    elif method == "holm":
-        t = bucket_scan(t, ks, p, F.col(p) * (F.col("_m") - (F.col("_le") - F.col("cnt"))), out, "max")
+        t = t.withColumn(out, _adjusted(method, p))
     else:
-        raise ValueError(f"unknown adjustment {method!r}")
-    t = t.select(*ks, p, F.least(F.lit(1.0), out).alias(out))
-    res = d.join(t, [*ks, p], "left")
-    return res.drop("_all") if plain else res
+        t = carried(t, keys, p, _adjusted(method, p), out, "max" if method == "holm" else "min")
+    return join_same(df, t.select(*keys, p, F.least(F.lit(1.0), out).alias(out)), [*keys, p], "left")
 
 
-def p_adjust_small(df: DataFrame, p: str, keys, method: str = "bh", out: str = "q") -> DataFrame:
-    """Same for families bounded by design (pairs of a few factor levels): plain windows."""
-    if method == "none":
-        return df.withColumn(out, F.col(p))
-    m = F.count(p).over(Window.partitionBy(*keys))
+def _adjusted(method: str, p: str) -> Column:
+    """Adjusted value before the running minimum or maximum, from the columns _m, _le and _less."""
+    pc, m = F.col(p), F.col("_m")
     if method == "bonferroni":
-        return df.withColumn(out, F.least(F.lit(1.0), F.col(p) * m))
-    asc = Window.partitionBy(*keys).orderBy(F.col(p).asc_nulls_last())
-    d = df.withColumn("_m", m).withColumn("_i", F.row_number().over(asc))
-    has = F.col(p).isNotNull()
+        return pc * m
     if method == "holm":
-        run = asc.rowsBetween(Window.unboundedPreceding, 0)
-        val = F.max(F.when(has, F.col(p) * (F.col("_m") - F.col("_i") + 1))).over(run)
-    else:
-        run = asc.rowsBetween(0, Window.unboundedFollowing)
-        val = F.min(F.when(has, F.col(p) * F.col("_m") / F.col("_i"))).over(run)
-    return d.withColumn(out, F.when(has, F.least(F.lit(1.0), val))).drop("_m", "_i")
+        return pc * (m - F.col("_less"))
+    return pc * m * (_harmonic(m) if method == "by" else F.lit(1.0)) / F.col("_le")

@@ -1,6 +1,6 @@
 """The driver tables seen as matrices, metadata, sets, time courses and graphs.
 
-Each view exists twice: as a DataFrame builder and as the SQL text of the same relation for the oracle.
+SQL_VIEWS holds the same relations as SQL text for the oracle; ``grid`` (all feature and sample pairs) exists there only.
 """
 
 from __future__ import annotations
@@ -13,16 +13,28 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def matrix_sales(spark, sf) -> DataFrame:
-    li = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_extendedprice")
+def _by_brand_and_size(spark, sf, value) -> DataFrame:
+    li = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     part = table(spark, sf, "part").select(
         "p_partkey", F.concat_ws("-", "p_brand", F.expr("cast(p_size div 10 as string)")).alias("feature")
     )
-    return (
-        li.join(part, li.l_partkey == part.p_partkey)
-        .groupBy("feature", F.col("l_suppkey").cast("string").alias("sample"))
-        .agg(F.sum("l_extendedprice").alias("value"))
-    )
+    joined = li.join(part, li.l_partkey == part.p_partkey)
+    return joined.groupBy("feature", F.col("l_suppkey").cast("string").alias("sample")).agg(value.alias("value"))
+
+
+def matrix_sales(spark, sf) -> DataFrame:
+    return _by_brand_and_size(spark, sf, F.sum("l_extendedprice"))
+
+
+def count_matrix(spark, sf) -> DataFrame:
+    """Counts per brand and size class: dense enough for size factors."""
+    return _by_brand_and_size(spark, sf, F.sum("l_quantity").cast("bigint"))
+
+
+def log_matrix(spark, sf) -> DataFrame:
+    """log2 of ``matrix_sales`` with the samples' groups."""
+    m = matrix_sales(spark, sf).filter("value > 0").withColumn("value", F.log2("value"))
+    return m.join(meta_sales(spark, sf).select("sample", "grp", "region", "batch", "is_qc"), "sample")
 
 
 def meta_sales(spark, sf) -> DataFrame:
@@ -63,19 +75,6 @@ def counts(spark, sf) -> DataFrame:
     )
 
 
-def count_matrix(spark, sf) -> DataFrame:
-    """Counts per brand and size class: dense enough for size factors."""
-    li = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
-    part = table(spark, sf, "part").select(
-        "p_partkey", F.concat_ws("-", "p_brand", F.expr("cast(p_size div 10 as string)")).alias("feature")
-    )
-    return (
-        li.join(part, li.l_partkey == part.p_partkey)
-        .groupBy("feature", F.col("l_suppkey").cast("string").alias("sample"))
-        .agg(F.sum("l_quantity").cast("bigint").alias("value"))
-    )
-
-
 def part_sets(spark, sf) -> DataFrame:
     p = table(spark, sf, "part").select("p_partkey", "p_type", "p_brand", "p_name")
     words = F.transform(F.split("p_name", " "), lambda w: F.concat(F.lit("word:"), w))
@@ -131,8 +130,7 @@ def design_mid(spark, sf) -> DataFrame:
         F.when(F.col("k") % 12 == 0, "reference").otherwise("labelled").alias("sample_type"),
         F.when(F.col("k") % 2 == 0, "A").otherwise("B").alias("grp"),
         F.when(F.floor(F.col("k") / 2) % 2 == 0, "ctl").otherwise("drug").alias("treatment"),
-        (F.floor(F.col("k") / 4) % 3 + 1).cast("double").alias("time_value"),
-        F.lit("h").alias("time_unit"),
+        (F.floor(F.col("k") / 4) % 3 + 1).cast("double").alias("hours"),
         (F.col("k") != 23).alias("include"),
     )
 
@@ -208,27 +206,23 @@ def _simpson(integrand: str, lo: str, hi: str, steps: int = 400) -> str:
 
 
 def sql_t_p(t: str, df: str) -> str:
-    integral = _simpson(f"pow(greatest(cos(X), 0.0), ({df}) - 1.0)", f"atan(abs({t}) / sqrt({df}))", "pi() / 2")
+    """Two-sided t tail: with x = sqrt(df) tan(a), the integral of cos(a)^(df - 1) from atan(|t| / sqrt(df)); past 12 / sqrt(df)
+    the integrand is below 1e-30 of its top."""
+    lo = f"atan(abs({t}) / sqrt({df}))"
+    integral = _simpson(f"pow(greatest(cos(X), 0.0), ({df}) - 1.0)", lo, f"least(pi() / 2, {lo} + 12.0 / sqrt({df}))")
     return f"least(1.0, 2 * exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(pi()) * {integral})"
 
 
 def sql_norm_p(z: str) -> str:
-    """Two-sided normal tail."""
-    integral = _simpson("exp(-0.5 * X * X)", "0.0", f"least(abs({z}), 9.0)")
-    return f"greatest(0.0, 1.0 - 2 * {integral} / sqrt(2 * pi()))"
-
-
-def sql_f_p(f: str, d1: str, d2: str) -> str:
-    top = f"asin(sqrt(({d2}) / (({d2}) + ({d1}) * ({f}))))"
-    integral = _simpson(f"pow(sin(X), ({d2}) - 1.0) * pow(cos(X), ({d1}) - 1.0)", "0.0", top)
-    return (
-        f"(2 * exp(lgamma((({d1}) + ({d2})) / 2.0) - lgamma(({d1}) / 2.0) - lgamma(({d2}) / 2.0)) * {integral})"
-    )
+    """Two-sided normal tail, the tail itself integrated."""
+    integral = _simpson("exp(-0.5 * X * X)", f"abs({z})", f"abs({z}) + 9.0")
+    return f"least(1.0, 2 * {integral} / sqrt(2 * pi()))"
 
 
 def sql_chi2_p(x: str, k: str) -> str:
-    integral = _simpson(f"2 * pow(X, ({k}) - 1.0) * exp(-0.5 * X * X)", "0.0", f"sqrt({x})")
-    return f"greatest(0.0, 1.0 - {integral} / (pow(2.0, ({k}) / 2.0) * exp(lgamma(({k}) / 2.0))))"
+    """Upper chi-square tail: with x = y^2, the integral of 2 y^(k-1) exp(-y^2 / 2) from sqrt(x)."""
+    integral = _simpson(f"2 * pow(X, ({k}) - 1.0) * exp(-0.5 * X * X)", f"sqrt({x})", f"sqrt({x}) + 12.0")
+    return f"least(1.0, {integral} / (pow(2.0, ({k}) / 2.0) * exp(lgamma(({k}) / 2.0))))"
 
 
 def sql_hyper_p(k: str, N: str, K: str, n: str) -> str:

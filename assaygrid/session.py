@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir`` when the cluster names one; only an unset local session gets its own."""
+    """Use ``spark.checkpoint.dir`` when the cluster names one; only a local test session without it gets its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
@@ -16,7 +16,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared is None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        shared = tempfile.mkdtemp(prefix="assaygrid-ckpt-")  # only a local test session comes here
+        shared = tempfile.mkdtemp(prefix="assaygrid-ckpt-")
     sc.setCheckpointDir(shared)
 
 
