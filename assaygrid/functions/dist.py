@@ -142,7 +142,7 @@ def t_quantile(p, df):
         mid = np.where(hi > 1e3, np.sqrt((lo + 1) * hi), (lo + hi) / 2)
         above = t_two_sided(mid, df) / 2 > q
         lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
-    return np.where(p < 0.5, -(lo + hi) / 2, (lo + hi) / 2)
+    return np.where((p > 0) & (p < 1) & (df > 0), np.where(p < 0.5, -(lo + hi) / 2, (lo + hi) / 2), np.nan)
 
 
 _NODES: dict = {}
