@@ -41,7 +41,7 @@ class Splicer:
         total, begin = 0, 0  # tokens before ``begin`` are counted
         stop = self.chunk
         ends = self.spans(text[:stop])
-        base, after = 0, 0  # where this chunk starts; position that its counted tokens start after
+        base, after = 0, -1  # where this chunk starts; tokens that end after this position are still to be counted
         while stop < len(text):
             overlap = min(self.overlap, stop - begin)
             while True:

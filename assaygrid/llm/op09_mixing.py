@@ -8,7 +8,7 @@ Targets default to a power of the token totals (a temperature per dimension); ex
 tables have no topic column, so the default topic is a rule on the text's form; any Column may take its place.
 The draw compares the probability with a hash of the seed and the doc_id, so it can be repeated; rows repeated under
 one doc_id are kept or left together.  Null source, language or topic is the value ``(none)``; null and blank texts
-have no tokens and probability 0 in cells without tokens.  Only the named columns are read.
+have no tokens and their cell's probability, which is 0 in a cell without tokens.  Only the named columns are read.
 """
 
 from __future__ import annotations

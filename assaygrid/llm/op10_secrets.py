@@ -133,13 +133,14 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 texts = part.column("text").to_pylist()
                 for i, t in enumerate(texts):
-                    out, done = [], 0
-                    for s, e, k, _ in scan(t or ""):
-                        if e > done:
-                            out += [t[done : max(s, done)], f"[{k}]" if s >= done else ""]
-                            done = e
-                    if done:
-                        texts[i] = "".join(out) + t[done:]
+                    while found := scan(t or ""):  # what a redaction uncovers is redacted too
+                        out, done = [], 0
+                        for s, e, k, _ in found:
+                            if e > done:
+                                out += [t[done : max(s, done)], f"[{k}]" if s >= done else ""]
+                                done = e
+                        t = "".join(out) + t[done:]
+                    texts[i] = t
                 cols = {n: part.column(n) for n in names}
                 cols["text"] = pa.array(texts, cols["text"].type)
                 if "n_chars" in cols:
