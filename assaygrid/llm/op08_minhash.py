@@ -31,6 +31,9 @@ from assaygrid.llm.base import WordHasher, components, mix, signed, slices, tabl
 from assaygrid.session import cut_lineage
 
 
+GROUP_SPLIT = 512  # members of a group that one task compares with all others of it
+
+
 def distance_bound(positions: int, similarity: float, miss: float) -> int:
     """Smallest t with P(more than t of the positions differ) <= miss at this similarity."""
     tail, t = 0.0, positions
@@ -190,11 +193,13 @@ def near_duplicates(
     links = star.filter("id <> p").filter(F.col("i") * 100 >= (F.col("n") + F.col("np") - F.col("i")) * percent).select(F.col("id").alias("a"), F.col("p").alias("b"))
     comp = components(links)
     where = star.join(comp.withColumnRenamed("node", "id"), "id", "left").select("r", "id", "n", "i", F.coalesce("component", "id").alias("comp"))
-    apart = where.groupBy("r").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("r")
-    where = cut_lineage(where.join(apart, "r"))
+    apart = where.groupBy("r").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / GROUP_SPLIT).cast("int").alias("parts"))
+    where = cut_lineage(where.join(apart.filter("lo <> hi").select("r", "parts"), "r"))
     open_ = where.join(own.select("r", "id", "sig", "x"), ["r", "id"])
-    u = open_.select("r", *[F.col(c).alias(f"u_{c}") for c in open_.columns if c != "r"])
-    w = open_.select("r", *[F.col(c).alias(f"w_{c}") for c in open_.columns if c != "r"])
+    # a large group is dealt to several tasks: one side by a hash of its members, the other side to each
+    sides = [c for c in open_.columns if c not in ("r", "parts")]
+    u = open_.select("r", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"u_{c}") for c in sides])
+    w = open_.select("r", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"w_{c}") for c in sides])
     # |u ∩ w| must reach percent / (100 + percent) of both sizes; outside the pivot's set it is at most the smaller rest
     most = F.least("u_i", "w_i") + F.least(F.col("u_n") - F.col("u_i"), F.col("w_n") - F.col("w_i"))
     enough = lambda i: i * (100 + percent) >= (F.col("u_n") + F.col("w_n")) * percent
@@ -206,7 +211,7 @@ def near_duplicates(
         & (differing("u_sig", "w_sig", longs) <= t)
         & enough(F.size(F.array_intersect("u_x", "w_x")))
     )
-    more = cut_lineage(u.join(w, "r").filter(linked).select(F.col("u_id").alias("a"), F.col("w_id").alias("b")))
+    more = cut_lineage(u.join(w, ["r", "part"]).filter(linked).select(F.col("u_id").alias("a"), F.col("w_id").alias("b")))
     if not more.isEmpty():
         comp = components(links.union(more))
     named = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("set_id", F.coalesce("component", "id").alias("component_id"))

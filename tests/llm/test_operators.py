@@ -303,8 +303,9 @@ def brute_components(rows, k, percent):
     return sets, comp
 
 
-@pytest.mark.parametrize("k, percent", [(3, 85), (5, 80)])
-def test_near_duplicates(spark, docs, none, texts, k, percent):
+@pytest.mark.parametrize("k, percent, split", [(3, 85, 512), (5, 80, 7)])
+def test_near_duplicates(spark, docs, none, texts, monkeypatch, k, percent, split):
+    monkeypatch.setattr(op08_minhash, "GROUP_SPLIT", split)
     rng = random.Random(9)
     base = words(rng, 120).split()
     family = [(100 + i, " ".join(w if rng.random() > i / 900 else f"e{i}" for w in base)) for i in range(60)]
