@@ -85,3 +85,37 @@ def target_ranking(features: DataFrame, weights: dict[str, float]) -> DataFrame:
     return attach_scalars(features, tops).withColumn("score", score).drop(*[f"_{c}" for c in weights])
 
 
+
+
+def pca(matrix: DataFrame, k: int = 2, most_features: int = 5000) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Scores (sample, pc, score), loadings (feature, pc, loading) and explained variance shares of centred samples.
+
+    The grid must be complete; the features (columns of the covariance) come to the driver and raise above
+    ``most_features``.  Each component's sign makes its largest loading positive.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    names = [r.feature for r in matrix.select("feature").distinct().orderBy("feature").limit(most_features + 1).collect()]
+    if len(names) > most_features:
+        raise ValueError(f"more than {most_features} features")
+    rows = matrix.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("feature", F.col("value").cast("double").alias("value")))).alias("_c"))
+    rows = rows.select("sample", F.transform("_c", lambda x: x["value"]).alias("_v"))
+    rows = rows.select("sample", array_to_vector(F.when(F.size("_v") == len(names), F.col("_v")).otherwise(F.raise_error(F.lit("the grid is not complete")))).alias("v"))
+    model = PCA(k=k, inputCol="v", outputCol="s").fit(rows)
+    weights = model.pc.toArray()
+    sign = np.sign(weights[np.abs(weights).argmax(axis=0), range(k)])
+    mean = rows.select(F.posexplode(vector_to_array("v")).alias("j", "x")).groupBy("j").agg(F.avg("x").alias("m")).orderBy("j").collect()
+    shift = np.array([r.m for r in mean]) @ weights
+    signs, shifts = F.array(*[F.lit(float(x)) for x in sign]), F.array(*[F.lit(float(x)) for x in shift])
+    scores = model.transform(rows).select("sample", F.posexplode(vector_to_array("s")).alias("j", "x"))
+    scores = scores.select("sample", (F.col("j") + 1).alias("pc"), ((F.col("x") - F.get(shifts, F.col("j"))) * F.get(signs, F.col("j"))).alias("score"))
+    spark = matrix.sparkSession
+    loadings = spark.createDataFrame([(f, c + 1, float(weights[i, c] * sign[c])) for i, f in enumerate(names) for c in range(k)], "feature string, pc int, loading double")
+    return scores, loadings, [float(x) for x in model.explainedVariance]
+
+
+def top_loadings(loadings: DataFrame, n: int) -> DataFrame:
+    """The n features of largest length in the plane of the first two components."""
+    t = loadings.filter("pc <= 2").groupBy("feature").agg(F.sqrt(F.sum(F.col("loading") * F.col("loading"))).alias("size"))
+    return t.orderBy(F.desc("size"), "feature").limit(n)

@@ -283,3 +283,13 @@ def reference_m1(spark, sf):
 def set_intersections(spark, sf):
     return V.part_sets(spark, sf).join(_hits(spark, sf), "member", "left_semi").groupBy("set_id").agg(F.count(F.lit(1)).alias("n_hits"))
 
+
+
+@query(None)
+def pca_scores(spark, sf):
+    return rounded(models.pca(V.matrix_vec(spark, sf), 2)[0])
+
+
+@query(None)
+def top_loadings(spark, sf):
+    return rounded(models.top_loadings(models.pca(V.matrix_vec(spark, sf), 2)[1], 10))
