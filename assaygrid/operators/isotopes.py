@@ -159,3 +159,26 @@ def reference_m1(iso: DataFrame, design: DataFrame, expected: DataFrame) -> Data
     t = attach_scalars(n, quantiles(r, [], "ratio", [0.5], ["median_ratio"]))
     status = F.when(F.col("n_compounds") < 5, "unclear").when(F.col("median_ratio") < 0.35, "corrected").when(F.col("median_ratio") > 0.7, "uncorrected").otherwise("unclear")
     return t.withColumn("status", status)
+
+
+def natural_correction(iso: DataFrame, rate: float = 0.0107) -> DataFrame:
+    """(compound, sample, i, fraction) freed from natural 13C: forward substitution through the binomial correction matrix of
+    n atoms, negative values to zero, then divided by their sum.  The channels 0 … n of a pair come together, n is small."""
+    m = iso.groupBy("compound", "sample", "n").agg(F.map_from_entries(F.collect_list(F.struct("i", F.greatest(F.coalesce("area", F.lit(0.0)), F.lit(0.0))))).alias("_m"))
+    n = F.col("n").cast("int")
+    at = F.transform(F.sequence(F.lit(0), n), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
+    # chance that k of the n - j unlabelled atoms are heavy: the binomial coefficient by its product
+    choose = lambda a, k: F.aggregate(F.sequence(F.lit(0), k), F.lit(1.0), lambda s, q: F.when(q == 0, s).otherwise(s * (a - k + q) / q))
+    heavy = lambda a, k: choose(a, k) * F.pow(F.lit(rate), k.cast("double")) * F.pow(F.lit(1 - rate), (a - k).cast("double"))
+
+    def step(done, i):
+        known = F.aggregate(
+            F.transform(done, lambda x, j: x * heavy(n - j, i - j)), F.lit(0.0), lambda s, v: s + v
+        )
+        return F.concat(done, F.array((F.get("_a", i) - known) / F.pow(F.lit(1 - rate), (n - i).cast("double"))))
+
+    m = m.withColumn("_a", at)
+    m = m.withColumn("_x", F.aggregate(F.sequence(F.lit(0), n), F.array().cast("array<double>"), step))
+    m = m.withColumn("_x", F.transform("_x", lambda v: F.greatest(v, F.lit(0.0))))
+    whole = F.aggregate("_x", F.lit(0.0), lambda s, v: s + v)
+    return m.select("compound", "sample", F.posexplode(F.transform("_x", lambda v: div(v, whole))).alias("i", "fraction"))

@@ -119,3 +119,35 @@ def top_loadings(loadings: DataFrame, n: int) -> DataFrame:
     """The n features of largest length in the plane of the first two components."""
     t = loadings.filter("pc <= 2").groupBy("feature").agg(F.sqrt(F.sum(F.col("loading") * F.col("loading"))).alias("size"))
     return t.orderBy(F.desc("size"), "feature").limit(n)
+
+
+def batch_corrected(matrix: DataFrame, design: DataFrame, most_samples: int = 100_000) -> DataFrame:
+    """Location and scale of batches removed with the groups protected: values are fitted by group and batch, the batch part
+    (centred over the samples) is taken out, and residuals are scaled from their batch's sd to the sd of all.
+
+    Features that all samples have are corrected, others are left out.  The design (sample, grp, batch) comes to the
+    driver and raises above ``most_samples``.
+    """
+    rows = design.select("sample", "grp", "batch").limit(most_samples + 1).collect()
+    if len(rows) > most_samples:
+        raise ValueError(f"the design has more than {most_samples} samples")
+    groups, batches = (sorted({r[c] for r in rows}) for c in ("grp", "batch"))
+    x = np.array([[1.0, *(float(r.grp == g) for g in groups[1:]), *(float(r.batch == b) for b in batches[1:])] for r in rows])
+    first = len(groups)  # batch columns start here
+    z = x[:, first:] - x[:, first:].mean(axis=0)
+    weights = np.linalg.pinv(x)
+    w = matrix.sparkSession.createDataFrame(
+        [(r["sample"], r.batch, weights[:, i].tolist(), x[i].tolist(), z[i].tolist()) for i, r in enumerate(rows)],
+        "sample string, batch string, w array<double>, x array<double>, z array<double>",
+    )
+    m = matrix.select("feature", "sample", "value").filter("value is not null").join(w, "sample")
+    k = x.shape[1]
+    beta = m.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"), F.array(*[F.sum(F.col("value") * F.col("w")[j]) for j in range(k)]).alias("b")).filter(F.col("_n") == len(rows))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    t = m.join(beta.select("feature", "b"), "feature")
+    t = t.withColumn("_e", F.col("value") - dot("x", "b")).withColumn("_batch", dot("z", F.slice("b", first + 1, k)))
+    sd = t.groupBy("feature", "batch").agg(F.stddev_samp("_e").alias("_s"))
+    every = t.groupBy("feature").agg(F.stddev_samp("_e").alias("_all"))
+    t = t.join(sd, ["feature", "batch"]).join(every, "feature")
+    scaled = F.col("_e") * F.coalesce(div("_all", "_s"), F.lit(1.0))
+    return t.select("feature", "sample", (F.col("value") - F.col("_e") - F.col("_batch") + scaled).alias("value"))

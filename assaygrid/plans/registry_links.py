@@ -293,3 +293,19 @@ def pca_scores(spark, sf):
 @query(None)
 def top_loadings(spark, sf):
     return rounded(models.top_loadings(models.pca(V.matrix_vec(spark, sf), 2)[1], 10))
+
+
+@query(None)
+def differential_correlation_q(spark, sf):
+    m, p = _vec(spark, sf), _near(spark, sf)
+    return rounded(pairs.permutation_q(pairs.differential_correlation(m, p, "A", "B"), pairs.permuted_z(m, p, "A", "B", 20), 20))
+
+
+@query(None)
+def batch_correction(spark, sf):
+    return rounded(models.batch_corrected(V.matrix_vec(spark, sf), V.meta_vec(spark, sf)))
+
+
+@query(None)
+def isotope_correction(spark, sf):
+    return rounded(isotopes.natural_correction(V.mid(spark, sf)))

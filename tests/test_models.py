@@ -76,3 +76,43 @@ def test_blank_and_broken_lines(spark):
     lines = spark.createDataFrame([("﻿a,1,x",), ("",), (None,), ("# c",), ("b,N/A",), ("c, 2.5 ,y,extra",)], "line string")
     rows = scans.delimited(lines, ["id", "value", "note"]).collect()
     assert [tuple(r) for r in rows] == [("a", "1", "x"), ("b", None, None), ("c", "2.5", "y")]
+
+
+def test_batch_correction_keeps_groups(spark):
+    rng = np.random.default_rng(5)
+    rows, design = [], []
+    for i in range(40):
+        g, b = i % 2, (i // 2) % 3
+        design.append((f"s{i}", f"g{g}", f"b{b}"))
+        rows += [(f"f{j}", f"s{i}", float(2 * g + 3 * b + rng.normal() * (1 + b))) for j in range(3)]
+    m = spark.createDataFrame(rows, "feature string, sample string, value double")
+    d = spark.createDataFrame(design, "sample string, grp string, batch string")
+    t = models.batch_corrected(m, d).join(d, "sample").toPandas()
+    for _, f in t.groupby("feature"):
+        x = np.array([[1, g == "g1", b == "b1", b == "b2"] for g, b in zip(f.grp, f.batch)], float)
+        beta = np.linalg.lstsq(x, f.value.to_numpy(), rcond=None)[0]
+        assert abs(beta[2]) < 1.2 and abs(beta[3]) < 1.2 and 0.5 < beta[1] < 3.5
+        res = f.value - x @ beta
+        spread = res.groupby(f.batch.to_numpy()).std()
+        assert spread.max() / spread.min() < 1.6
+
+
+def test_natural_correction_inverts_the_natural_spread(spark):
+    from math import comb
+
+    from assaygrid.operators import isotopes
+
+    true, n, r = [0.5, 0.0, 0.3, 0.2], 3, 0.0107
+    seen = [sum(true[j] * comb(n - j, i - j) * r ** (i - j) * (1 - r) ** (n - i) for j in range(i + 1)) for i in range(n + 1)]
+    df = spark.createDataFrame([("c", "s", i, n, 1000 * v) for i, v in enumerate(seen)], "compound string, sample string, i int, n int, area double")
+    got = {x.i: x.fraction for x in isotopes.natural_correction(df).collect()}
+    assert [got[i] for i in range(n + 1)] == pytest.approx(true, abs=1e-9)
+
+
+def test_permutation_q(spark):
+    obs = [("a", "b", 3.0), ("a", "c", -2.0), ("a", "d", 1.0), ("a", "e", 0.5)]
+    perm = [0.2, 0.6, 1.1, 2.0, 0.4, 0.3, 0.9, 1.5]  # two rounds
+    got = {x.f2: x.q for x in pairs.permutation_q(spark.createDataFrame(obs, "f1 string, f2 string, z double"), spark.createDataFrame([(p,) for p in perm], "z double"), 2).collect()}
+    raw = [sum(p >= abs(z) for p in perm) / 2 / sum(abs(y) >= abs(z) for *_, y in obs) for *_, z in obs]
+    want = [min(1, min(raw[i:])) for i in range(4)]
+    assert [got[k] for k in "bcde"] == pytest.approx(want)
