@@ -2,7 +2,7 @@
 
 Words (A-Z lower-cased, punctuation between words dropped, but not inside numbers) become template words: a word
 with a digit is ``<num>``, a unit after a number ``<unit>``, a capitalised word ``<name>`` inside a sentence and
-``<init>`` at its start.  Windows of ``width`` template words with at least ``literal`` plain words are hashed and
+``<init>`` at its start; a second style keeps all words and so finds copies in other case.  Windows of ``width`` template words with at least ``literal`` plain words are hashed and
 joined with the benchmark's windows (a shorter item is one window).  Matches on one diagonal (position in the
 document minus position in the item) are one alignment.  Its slots must be consistent: each slot value of the item
 stands for one value in the document throughout.  An item is found when a consistent alignment covers ``cover`` of
@@ -61,10 +61,10 @@ class Templater(WordHasher):
         return np.flatnonzero(first), np.flatnonzero(last) + 1
 
     def __call__(self, data, offs):
-        """Template hashes, kind of each (0: plain, else 1 + place in KINDS), word starts and ends, row offsets."""
+        """Template hashes, hashes with names kept, kind of each (0: plain, else 1 + place in KINDS), word starts and ends, row offsets."""
         h, starts, ends, at = super().__call__(data, offs)
         if not len(h):
-            return h, np.zeros(0, np.int8), starts, ends, at
+            return h, h, np.zeros(0, np.int8), starts, ends, at
         count = lambda mask: np.concatenate([[0], np.cumsum(mask)])
         digits, stops = count(self.digit[data]), count(self.stop[data])
         num = digits[ends] > digits[starts]
@@ -84,7 +84,7 @@ class Templater(WordHasher):
         after[head] = False
         place = np.minimum(np.searchsorted(self.units, h), len(self.units) - 1)
         kind[after & ~num & (self.units[place] == h)] = 2
-        return np.choose(kind, [h, NUM, UNIT, NAME, INIT]), kind, starts, ends, at
+        return np.choose(kind, [h, NUM, UNIT, NAME, INIT]), np.choose(np.minimum(kind, 3), [h, NUM, UNIT, h]), kind, starts, ends, at
 
 
 def template_windows(rows: DataFrame, widths: list[int], literal: int, bitmap: np.ndarray | None, short: bool) -> DataFrame:
@@ -106,30 +106,34 @@ def template_windows(rows: DataFrame, widths: list[int], literal: int, bitmap: n
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offs = text_bytes(part.column("text"))
-                t, kind, starts, ends, at = templater(data, offs)
+                template, worded, kind, starts, ends, at = templater(data, offs)
                 ids = part.column("id").to_pylist()
-                plain = np.concatenate([[0], np.cumsum(kind == 0)])
                 out = []
                 row_of = np.repeat(np.arange(len(ids)), np.diff(at))
-                for w in widths:
-                    h = hashes(t, w)
-                    if not len(h):
-                        continue
-                    ok = (row_of[: len(h)] == row_of[w - 1 :]) & (plain[w:] - plain[: len(h)] >= min(literal, w))
-                    if bitmap is not None:
-                        b = (h >> np.uint64(64 - BITS)).astype(np.int64)
-                        ok &= (bitmap[b >> 3] >> (b & 7)).astype(np.uint8) & 1 == 1
-                    out += [(int(i), w, h[i]) for i in np.flatnonzero(ok)]
-                if short:
-                    for a, b in zip(at[:-1], at[1:]):
-                        if literal <= b - a < widths[0]:
-                            out.append((int(a), int(b - a), hashes(t[a:b], int(b - a))[0]))
+                # both styles: (hashes, kinds that are slots in it)
+                for style, t, slots_upto in ((1, template, 4), (2, worded, 2)):
+                    slot_at = (kind > 0) & (kind <= slots_upto)
+                    plain = np.concatenate([[0], np.cumsum(~slot_at)])
+                    styled = lambda x: mix(x + np.uint64(style))  # noqa: B023, E731
+                    for w in widths:
+                        h = styled(hashes(t, w))
+                        if not len(h):
+                            continue
+                        ok = (row_of[: len(h)] == row_of[w - 1 :]) & (plain[w:] - plain[: len(h)] >= min(literal, w))
+                        if bitmap is not None:
+                            b = (h >> np.uint64(64 - BITS)).astype(np.int64)
+                            ok &= (bitmap[b >> 3] >> (b & 7)).astype(np.uint8) & 1 == 1
+                        out += [(int(i), w, h[i], slot_at) for i in np.flatnonzero(ok)]
+                    if short:
+                        for a, b in zip(at[:-1], at[1:]):
+                            if literal <= b - a < widths[0]:
+                                out.append((int(a), int(b - a), styled(hashes(t[a:b], int(b - a)))[0], slot_at))
                 cols = [[], [], [], [], [], []]
-                for i, w, x in out:
+                for i, w, x, slot_at in out:
                     r = row_of[i]
                     slots = [
                         {"o": int(j - i), "kind": KINDS[kind[j] - 1], "value": data[starts[j] : ends[j]].tobytes().decode("utf8", "replace").lower()}
-                        for j in range(i, i + w) if kind[j]
+                        for j in range(i, i + w) if slot_at[j]
                     ]
                     for c, v in zip(cols, (ids[r], i - at[r], at[r + 1] - at[r], w, np.uint64(x).astype(np.int64), slots)):
                         c.append(v)
