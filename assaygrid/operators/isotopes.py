@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaygrid.operators.base import attach_scalars, div, quantiles
+from assaygrid.operators.base import attach_scalars, div, join_same, quantiles
 
 
 def analysed(design: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def rate_grid(low: float = 1e-3, high: float = 50.0, steps: int = 400) -> Column
 
 
 def first_order_fit(rows: DataFrame, keys=("compound", "grp"), top: float = 100.0, least_times: int = 3) -> DataFrame:
-    """E(t) = E∞ (1 - exp(-k t)) per curve: for each k of a fixed grid E∞ is a clipped least-squares ratio; the best k wins.
+    """E(t) = E∞ (1 - exp(-k t)) per curve: for each k of a fixed grid E∞ is a clipped least-squares ratio; the k that fits best wins.
 
     Curves with fewer than ``least_times`` times have no row.  The points of a curve are summed per time first, so the
     grid multiplies times, not samples.
@@ -127,7 +127,10 @@ def first_order_fit(rows: DataFrame, keys=("compound", "grp"), top: float = 100.
     )
     e = F.least(F.lit(top), F.greatest(F.lit(0.0), div("yb", "bb")))
     fit = fit.filter(F.col("n_times") >= least_times).withColumn("e_inf", e).withColumn("rss", F.col("yy") - 2 * F.col("e_inf") * F.col("yb") + F.col("e_inf") * F.col("e_inf") * F.col("bb"))
-    best = fit.groupBy(*keys).agg(F.min(F.struct("rss", "k", "e_inf", "n_times", "n", "yy", "y")).alias("x"))
+    # where the curve is flat in k the slowest rate that fits as well is taken: equal to one part in 1e6
+    least = fit.groupBy(*keys).agg(F.min("rss").alias("_least"))
+    good = join_same(fit, least, keys).filter(F.col("rss") <= F.col("_least") * (1 + 1e-6) + 1e-12)
+    best = good.groupBy(*keys).agg(F.min(F.struct("k", "rss", "e_inf", "n_times", "n", "yy", "y")).alias("x"))
     tss = F.col("x.yy") - F.col("x.y") * F.col("x.y") / F.col("x.n")
     return best.select(
         *keys, "x.n_times", F.col("x.n").cast("bigint").alias("n"), "x.k", "x.e_inf", (F.log(F.lit(2.0)) / F.col("x.k")).alias("t_half"), "x.rss", (1 - div("x.rss", tss)).alias("r2")

@@ -763,13 +763,13 @@ GRID = "0.001 * pow(pow(50000.0, 1.0 / 399), j)"
 FIT = f"""fit AS (SELECT compound, grp, k, e, nt, n, yy - 2 * e * yb + e * e * bb AS rss, yy - y * y / n AS tss FROM (SELECT *, least(100.0, greatest(0.0, yb / bb)) AS e FROM (
     SELECT compound, grp, k, count(DISTINCT hours) AS nt, count(*) AS n, sum(value * (1 - exp(-k * hours))) AS yb, sum(pow(1 - exp(-k * hours), 2)) AS bb, sum(value * value) AS yy, sum(value) AS y
     FROM (SELECT *, {GRID} AS k FROM tc, range(0, 400) AS g(j) WHERE hours > 0) GROUP BY 1, 2, 3) WHERE nt >= 3)),
-    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY compound, grp ORDER BY rss, k) AS o FROM fit) WHERE o = 1)"""
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY compound, grp ORDER BY k) AS o FROM (SELECT *, min(rss) OVER (PARTITION BY compound, grp) AS lr FROM fit) WHERE rss <= lr * (1 + 1e-6) + 1e-12) WHERE o = 1)"""
 
 
-@query(sql("tc", f"SELECT compound, grp, nt AS n_times, n, {R('e', 4)} AS e_inf, {R('rss', 2)} AS rss, {R('1 - rss / tss', 5)} AS r2 FROM best", FIT))
+@query(sql("tc", f"SELECT compound, grp, nt AS n_times, n, {R('k')} AS k, {R('e', 4)} AS e_inf, {R('rss', 2)} AS rss, {R('1 - rss / tss', 5)} AS r2 FROM best", FIT))
 def labelling_fits(spark, sf):
     t = isotopes.first_order_fit(V.timecourse(spark, sf))
-    return t.select("compound", "grp", "n_times", "n", *[(F.round(c, d) + 0.0).alias(c) for c, d in (("e_inf", 4), ("rss", 2), ("r2", 5))])
+    return t.select("compound", "grp", "n_times", "n", *[(F.round(c, d) + 0.0).alias(c) for c, d in (("k", 6), ("e_inf", 4), ("rss", 2), ("r2", 5))])
 
 
 @query(sql("tc", "SELECT compound, grp, row_number() OVER (PARTITION BY grp ORDER BY ln(2.0) / k, compound) AS place FROM best WHERE 1 - rss / tss >= -1", FIT))
