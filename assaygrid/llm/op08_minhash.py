@@ -6,8 +6,9 @@ probability below ``miss``; every pair within ``t`` is found: cut into t//2 + 1
 at most one differing position (pigeonhole), so each chunk is keyed with every position left out once.
 
 Links are confirmed on full sets.  Texts with the same set are one class.  No bucket emits its pairs.  The buckets
-with the same smallest member form one group; its members are measured against the group's pivot (the member that
-agrees best with the group's commonest signature values), and the links found are joined to components.  Only
+with the same smallest member form one group, and groups with the same pivot (the member that agrees best with the
+group's commonest signature values) are joined; members are measured against the pivot, and the links found are
+joined to components.  Only
 members of a group in different components are compared with each other, inside the condition of one join that
 emits nothing but links: set sizes, what the overlap with the pivot allows, the signature distance, and last the full
 sets.  So no link between components is lost, no bucket is capped, and large groups of copies give few rows.
@@ -180,21 +181,21 @@ def near_duplicates(
     buckets = stats.filter("size > 1").groupBy("size", "r", "who").agg(F.min("key").alias("key")).select("key", "r")
     groups = cut_lineage(members.join(buckets, "key").select("r", "id").distinct())
     sets = cut_lineage(full_sets(docs, groups.select("id").distinct(), shingle))
-    groups = cut_lineage(with_pivot(groups.join(classes.select("id", "sig"), "id"), longs))
-    # the sets of pivots are needed once a group, the members' own once a member of a group
-    pivots = groups.select("r", "p").distinct().join(sets.select(F.col("id").alias("p"), F.col("items").alias("y")), "p")
+    # groups with one pivot are one group: each member's set is needed once for a pivot
+    groups = cut_lineage(with_pivot(groups.join(classes.select("id", "sig"), "id"), longs).select("p", "id").distinct())
+    pivots = groups.select("p").distinct().join(sets.select(F.col("id").alias("p"), F.col("items").alias("y")), "p")
     own = groups.join(sets.select("id", F.col("items").alias("x")), "id")
     both = F.size(F.array_intersect("x", "y"))
-    star = own.join(pivots, ["r", "p"]).select("r", "p", "id", F.size("x").alias("n"), both.alias("i"), F.size("y").alias("np"))
+    star = own.join(pivots, "p").select("p", "id", F.size("x").alias("n"), both.alias("i"), F.size("y").alias("np"))
     star = cut_lineage(star)
     links = star.filter("id <> p").filter(F.col("i") * 100 >= (F.col("n") + F.col("np") - F.col("i")) * percent).select(F.col("id").alias("a"), F.col("p").alias("b"))
     comp = components(links)
-    where = star.join(comp.withColumnRenamed("node", "id"), "id", "left").select("r", "id", "n", "i", F.coalesce("component", "id").alias("comp"))
-    apart = where.groupBy("r").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("r")
-    where = cut_lineage(where.join(apart, "r"))
-    open_ = where.join(own.select("r", "id", "sig", "x"), ["r", "id"])
-    u = open_.select("r", *[F.col(c).alias(f"u_{c}") for c in open_.columns if c != "r"])
-    w = open_.select("r", *[F.col(c).alias(f"w_{c}") for c in open_.columns if c != "r"])
+    where = star.join(comp.withColumnRenamed("node", "id"), "id", "left").select("p", "id", "i", F.coalesce("component", "id").alias("comp"))
+    apart = where.groupBy("p").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("p")
+    where = cut_lineage(where.join(apart, "p"))
+    open_ = where.join(sets.select("id", F.col("items").alias("x"), F.size("items").alias("n")), "id").join(classes.select("id", "sig"), "id")
+    u = open_.select("p", *[F.col(c).alias(f"u_{c}") for c in open_.columns if c != "p"])
+    w = open_.select("p", *[F.col(c).alias(f"w_{c}") for c in open_.columns if c != "p"])
     # |u ∩ w| must reach percent / (100 + percent) of both sizes; outside the pivot's set it is at most the smaller rest
     most = F.least("u_i", "w_i") + F.least(F.col("u_n") - F.col("u_i"), F.col("w_n") - F.col("w_i"))
     enough = lambda i: i * (100 + percent) >= (F.col("u_n") + F.col("w_n")) * percent
@@ -206,7 +207,7 @@ def near_duplicates(
         & (differing("u_sig", "w_sig", longs) <= t)
         & enough(F.size(F.array_intersect("u_x", "w_x")))
     )
-    more = cut_lineage(u.join(w, "r").filter(linked).select(F.col("u_id").alias("a"), F.col("w_id").alias("b")))
+    more = cut_lineage(u.join(w, "p").filter(linked).select(F.col("u_id").alias("a"), F.col("w_id").alias("b")))
     if not more.isEmpty():
         comp = components(links.union(more))
     named = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("set_id", F.coalesce("component", "id").alias("component_id"))
