@@ -2,11 +2,14 @@
 
 Words (A-Z lower-cased, punctuation between words dropped, but not inside numbers) become template words: a word
 with a digit is ``<num>``, a unit after a number ``<unit>``, a capitalised word ``<name>`` inside a sentence and
-``<init>`` at its start; a second style keeps all words and so finds copies in other case.  Windows of ``width`` template words with at least ``literal`` plain words are hashed and
-joined with the benchmark's windows (a shorter item is one window).  Matches on one diagonal (position in the
-document minus position in the item) are one alignment.  Its slots must be consistent: each slot value of the item
-stands for one value in the document throughout.  An item is found when a consistent alignment covers ``cover`` of
-its words or holds a run of ``run`` words; it is re-parameterised when some slot value was changed.
+``<init>`` at its start; a second style has slots for numbers and units only and so finds copies in other case; the
+literal style has none.  Windows of ``width`` words (in the first two styles with at least ``literal`` plain words) are
+hashed and joined with the benchmark's windows (a shorter item is one window).  Matches on one diagonal (position in
+the document minus position in the item) are one alignment; neighbouring diagonals at most ``shift`` words apart are
+one, too, since words may have been put in or left out.  Windows without a changed slot always count.  Windows with
+changed slots count by style, as long as the slots of the style's changed windows are consistent: each slot value of the
+item stands for one value in the document.  An item is found when an alignment covers ``cover`` of its words (by as
+many words of the document) or holds a run of ``run`` words; it is re-parameterised when some slot value was changed.
 
 A bitmap of fixed size over the benchmark's window hashes thins the document windows before the join; it can only
 let too many through, the join decides.  Null or empty texts match nothing; rows with a null doc_id are returned as
@@ -61,10 +64,10 @@ class Templater(WordHasher):
         return np.flatnonzero(first), np.flatnonzero(last) + 1
 
     def __call__(self, data, offs):
-        """Template hashes, hashes with names kept, kind of each (0: plain, else 1 + place in KINDS), word starts and ends, row offsets."""
+        """Template hashes, hashes with names kept, hashes of all words, kind of each (0: plain, else 1 + place in KINDS), word starts and ends, row offsets."""
         h, starts, ends, at = super().__call__(data, offs)
         if not len(h):
-            return h, h, np.zeros(0, np.int8), starts, ends, at
+            return h, h, h, np.zeros(0, np.int8), starts, ends, at
         count = lambda mask: np.concatenate([[0], np.cumsum(mask)])
         digits, stops = count(self.digit[data]), count(self.stop[data])
         num = digits[ends] > digits[starts]
@@ -84,15 +87,15 @@ class Templater(WordHasher):
         after[head] = False
         place = np.minimum(np.searchsorted(self.units, h), len(self.units) - 1)
         kind[after & ~num & (self.units[place] == h)] = 2
-        return np.choose(kind, [h, NUM, UNIT, NAME, INIT]), np.choose(np.minimum(kind, 3), [h, NUM, UNIT, h]), kind, starts, ends, at
+        return np.choose(kind, [h, NUM, UNIT, NAME, INIT]), np.choose(np.minimum(kind, 3), [h, NUM, UNIT, h]), h, kind, starts, ends, at
 
 
 def template_windows(rows: DataFrame, widths: list[int], literal: int, bitmap: np.ndarray | None, short: bool) -> DataFrame:
-    """(id, pos, n_words, wide, hash, slots) of the windows of ``rows`` (id, text) that the bitmap lets through.
+    """(id, pos, n_words, wide, style, hash, slots) of the windows of ``rows`` (id, text) that the bitmap lets through.
 
     slots lists (offset in the window, kind, lower-cased value).  ``short``: a text below the width is one window.
     """
-    schema = "id bigint, pos int, n_words int, wide int, hash bigint, slots array<struct<o:int,kind:string,value:string>>"
+    schema = "id bigint, pos int, n_words int, wide int, style int, hash bigint, slots array<struct<o:int,kind:string,value:string>>"
     slot = pa.list_(pa.struct([("o", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
 
     def hashes(t, w):
@@ -106,12 +109,12 @@ def template_windows(rows: DataFrame, widths: list[int], literal: int, bitmap: n
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offs = text_bytes(part.column("text"))
-                template, worded, kind, starts, ends, at = templater(data, offs)
+                template, worded, plainly, kind, starts, ends, at = templater(data, offs)
                 ids = part.column("id").to_pylist()
                 out = []
                 row_of = np.repeat(np.arange(len(ids)), np.diff(at))
-                # both styles: (hashes, kinds that are slots in it)
-                for style, t, slots_upto in ((1, template, 4), (2, worded, 2)):
+                # the styles: hashes, kinds that are slots in it, plain words that a window needs
+                for style, t, slots_upto, least in ((0, plainly, 0, 0), (1, template, 4, literal), (2, worded, 2, literal)):
                     slot_at = (kind > 0) & (kind <= slots_upto)
                     plain = np.concatenate([[0], np.cumsum(~slot_at)])
                     styled = lambda x: mix(x + np.uint64(style))  # noqa: B023, E731
@@ -119,31 +122,31 @@ def template_windows(rows: DataFrame, widths: list[int], literal: int, bitmap: n
                         h = styled(hashes(t, w))
                         if not len(h):
                             continue
-                        ok = (row_of[: len(h)] == row_of[w - 1 :]) & (plain[w:] - plain[: len(h)] >= min(literal, w))
+                        ok = (row_of[: len(h)] == row_of[w - 1 :]) & (plain[w:] - plain[: len(h)] >= min(least, w))
                         if bitmap is not None:
                             b = (h >> np.uint64(64 - BITS)).astype(np.int64)
                             ok &= (bitmap[b >> 3] >> (b & 7)).astype(np.uint8) & 1 == 1
-                        out += [(int(i), w, h[i], slot_at) for i in np.flatnonzero(ok)]
+                        out += [(int(i), w, h[i], style, slot_at) for i in np.flatnonzero(ok)]
                     if short:
                         for a, b in zip(at[:-1], at[1:]):
                             if literal <= b - a < widths[0]:
-                                out.append((int(a), int(b - a), styled(hashes(t[a:b], int(b - a)))[0], slot_at))
-                cols = [[], [], [], [], [], []]
-                for i, w, x, slot_at in out:
+                                out.append((int(a), int(b - a), styled(hashes(t[a:b], int(b - a)))[0], style, slot_at))
+                cols = [[], [], [], [], [], [], []]
+                for i, w, x, style, slot_at in out:
                     r = row_of[i]
                     slots = [
                         {"o": int(j - i), "kind": KINDS[kind[j] - 1], "value": data[starts[j] : ends[j]].tobytes().decode("utf8", "replace").lower()}
                         for j in range(i, i + w) if slot_at[j]
                     ]
-                    for c, v in zip(cols, (ids[r], i - at[r], at[r + 1] - at[r], w, np.uint64(x).astype(np.int64), slots)):
+                    for c, v in zip(cols, (ids[r], i - at[r], at[r + 1] - at[r], w, style, np.uint64(x).astype(np.int64), slots)):
                         c.append(v)
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), slot]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "pos", "n_words", "wide", "hash", "slots"])
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), slot]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "pos", "n_words", "wide", "style", "hash", "slots"])
 
     return rows.filter("id is not null").mapInArrow(run, schema)
 
 
-def found_items(docs: DataFrame, bench: DataFrame, width: int = 8, literal: int = 4, cover: float = 0.8, run: int = 13) -> DataFrame:
+def found_items(docs: DataFrame, bench: DataFrame, width: int = 8, literal: int = 4, cover: float = 0.8, run: int = 13, shift: int = 8) -> DataFrame:
     """(doc_id, item_id, covered, longest, changed): the items found in each document."""
     items = bench.select(F.col("item_id").cast("bigint").alias("id"), "text")
     theirs = template_windows(items, [width], literal, None, True)
@@ -155,28 +158,45 @@ def found_items(docs: DataFrame, bench: DataFrame, width: int = 8, literal: int
         bits[b >> 3] |= 1 << (b & 7)
     ours = template_windows(docs.select(F.col("doc_id").cast("bigint").alias("id"), "text"), widths, literal, bits, False)
     ours = ours.select(F.col("id").alias("doc_id"), F.col("pos").alias("dp"), "hash", F.col("slots").alias("ds"))
-    theirs = theirs.select(F.col("id").alias("item_id"), F.col("pos").alias("ip"), "n_words", "wide", "hash", F.col("slots").alias("is_"))
+    theirs = theirs.select(F.col("id").alias("item_id"), F.col("pos").alias("ip"), "n_words", "wide", "style", "hash", F.col("slots").alias("is_"))
     pair = F.zip_with("ds", "is_", lambda d, i: F.struct(i["kind"].alias("kind"), i["value"].alias("theirs"), d["value"].alias("ours")))
-    hit = ours.join(theirs, "hash").select("doc_id", "item_id", (F.col("dp") - F.col("ip")).alias("diag"), "ip", "n_words", "wide", pair.alias("slots"))
-    lines = hit.groupBy("doc_id", "item_id", "diag").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.collect_set(F.struct("ip", "wide"))).alias("at"),
-        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
-    )
+    hit = ours.join(theirs, "hash").select("doc_id", "item_id", (F.col("dp") - F.col("ip")).alias("diag"), "ip", "n_words", "wide", "style", pair.alias("slots"))
+    changed = F.exists("slots", lambda x: x["theirs"] != x["ours"])
+    hit = hit.withColumn("style", F.when(changed, F.col("style")).otherwise(0))  # nothing to be consistent with
+    window = F.struct(F.col("ip").alias("p"), "wide")
+    places = [F.collect_set(F.when(F.col("style") == k, window)).alias(f"at{k}") for k in (0, 1, 2)]
+    slots = [F.array_distinct(F.flatten(F.collect_set(F.when(F.col("style") == k, F.col("slots"))))).alias(f"slots{k}") for k in (1, 2)]
+    lines = hit.groupBy("doc_id", "item_id", "diag").agg(F.max("n_words").alias("n_words"), *places, *slots)
+    # the evidence by style; what has fewer slots counts for the styles with more
+    none = F.slice("slots1", 1, 0)
+    by_style = [(0, "at0", none), (2, F.array_union("at0", "at2"), F.col("slots2"))]
+    by_style += [(1, F.array_union(F.array_union("at0", "at2"), "at1"), F.array_union("slots1", "slots2"))]
+    each = F.array(*[F.struct(F.lit(k).alias("style"), F.array_sort(a).alias("at"), x.alias("slots")) for k, a, x in by_style])
+    lines = lines.select("doc_id", "item_id", "diag", "n_words", F.explode(each).alias("e")).select("doc_id", "item_id", "diag", "n_words", "e.*").filter("size(at) > 0")
     # words covered, current run and longest run over the windows in order
     start = F.struct(F.lit(0).alias("all"), F.lit(-1).alias("upto"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(s, x):
-        end = x["ip"] + x["wide"]
-        new = F.greatest(F.lit(0), end - F.greatest(s["upto"], x["ip"]))
-        grown = F.when(x["ip"] <= s["upto"], s["run"] + new).otherwise(x["wide"])
+        end = x["p"] + x["wide"]
+        new = F.greatest(F.lit(0), end - F.greatest(s["upto"], x["p"]))
+        grown = F.when(x["p"] <= s["upto"], s["run"] + new).otherwise(x["wide"])
         return F.struct((s["all"] + new).alias("all"), F.greatest(s["upto"], end).alias("upto"), grown.alias("run"), F.greatest(s["best"], grown).alias("best"))
 
-    lines = lines.withColumn("s", F.aggregate("at", start, step))
+    lines = lines.withColumn("longest", F.aggregate("at", start, step)["best"])
+    lines = lines.withColumn("in_doc", F.transform("at", lambda x: F.struct((x["p"] + F.col("diag")).alias("p"), x["wide"].alias("wide"))))
+    # each diagonal is an alignment, and each chain of neighbouring ones
+    own = Window.partitionBy("doc_id", "item_id", "style").orderBy("diag")
+    lines = lines.withColumn("_new", F.coalesce((F.col("diag") - F.lag("diag").over(own) > shift).cast("int"), F.lit(1)))
+    chain = F.struct(F.lit(True).alias("chain"), F.sum("_new").over(own).cast("int").alias("n"))
+    lines = lines.withColumn("_of", F.array(F.struct(F.lit(False).alias("chain"), F.col("diag").alias("n")), chain))
+    pooled = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    lines = lines.withColumn("_of", F.explode("_of")).groupBy("doc_id", "item_id", "style", "_of").agg(
+        F.max("n_words").alias("n_words"), F.max("longest").alias("longest"), pooled("at"), pooled("in_doc"), pooled("slots"),
+    )
     keys = F.array_distinct(F.transform("slots", lambda x: F.struct(x["kind"], x["theirs"])))
+    words = F.least(F.aggregate("at", start, step)["all"], F.aggregate("in_doc", start, step)["all"])
     lines = lines.select(
-        "doc_id", "item_id", (F.col("s.all") / F.col("n_words")).alias("covered"), F.col("s.best").alias("longest"),
-        (F.size(keys) == F.size("slots")).alias("consistent"),
+        "doc_id", "item_id", (words / F.col("n_words")).alias("covered"), "longest", (F.size(keys) == F.size("slots")).alias("consistent"),
         F.exists("slots", lambda x: x["theirs"] != x["ours"]).alias("changed"),
     )
     good = lines.filter("consistent").filter((F.col("covered") >= cover) | (F.col("longest") >= run))

@@ -282,6 +282,20 @@ def test_inconsistent_slots_are_no_match(spark):
     assert got[1].contaminated and got[1].reparametrised and not got[2].contaminated
 
 
+def test_one_edit_does_not_veto_verbatim_evidence(spark):
+    item = "The farmer sold the red cow to a man from the north . The buyer paid with old coins . The farmer then walked home along the river"
+    edited = item.replace("The buyer", "A buyer")
+    short = "every worker in this old mill carries just two full sacks up to that loft today"
+    put_in = short.replace("just two", "just about two")
+    phrase = "red stones roll down over the green hill"
+    rows = [(1, edited), (2, put_in), (3, phrase)]
+    bench = [(1, item), (2, short), (3, " ".join([phrase] * 5))]
+    got = op07_decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string"))
+    got = {r.doc_id: r for r in got.collect()}
+    assert got[1].item_ids == [1] and got[2].item_ids == [2]
+    assert not got[3].contaminated  # eight words of the document are not forty of the item
+
+
 # -- 8 ----------------------------------------------------------------------------------------------------------------
 
 
