@@ -3,8 +3,9 @@
 Words (A-Z lower-cased, punctuation between words dropped, but not inside numbers) become template words: a word
 with a digit is ``<num>``, a unit after a number ``<unit>``, a capitalised word ``<name>`` inside a sentence and
 ``<init>`` at its start; a second style has slots for numbers and units only and so finds copies in other case; the
-literal style has none.  Windows of ``width`` words (in the first two styles with at least ``literal`` plain words) are
-hashed and joined with the benchmark's windows (a shorter item is one window).  Matches on one diagonal (position in
+literal style has none and needs no plain words, but tells the operators between two numbers apart.  Each character of
+a script without spaces (Chinese, Japanese, Thai, Lao, Khmer, Burmese) is a word.  Windows of ``width`` words (in the first two styles with at least ``literal`` plain words) are
+hashed and joined with the benchmark's windows (a shorter item is one window; in the literal style it may be a single word).  Matches on one diagonal (position in
 the document minus position in the item) are one alignment; neighbouring diagonals at most ``shift`` words apart are
 one, too, since words may have been put in or left out.  Windows without a changed slot always count.  Windows with
 changed slots count by style, as long as the slots of the style's changed windows are consistent: each slot value of the
@@ -19,6 +20,8 @@ columns are not read.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -46,23 +49,56 @@ class Templater(WordHasher):
         self.split = flag(b" \t\n\r\x0b\x0c!\"'()*,.:;<=>?[]`{|}~/\\_&#$%+-^@")
         self.joint, self.digit, self.stop = flag(b".,:/-"), flag(b"0123456789"), flag(b".!?\n")
         self.upper = flag(range(65, 91))
+        self.operator = flag(b"+-*/=<>^%")
         data = np.frombuffer(" ".join(UNITS).encode(), np.uint8)
         self.units = np.sort(WordHasher.__call__(self, data, np.array([0, len(data)]))[0])
 
     def spans(self, data, offs):
         cut = self.split[data]
+        alone, after = np.zeros(len(data), bool), np.zeros(len(data) + 4, bool)
+        if len(data) and data.max() >= 0xE0:
+            alone, mark = self.unspaced(data)
+            for size, leads in ((3, alone & (data < 0xF0)), (4, alone & (data >= 0xF0))):
+                after[np.flatnonzero(leads) + size] = True
+            for k in range(3):
+                cut[np.minimum(np.flatnonzero(mark) + k, len(data) - 1)] = True
+        parted = alone | after[: len(data)]  # a word ends before this byte
         digit = self.digit[data]
         inside = np.zeros(len(data), bool)
         inside[1:-1] = digit[:-2] & digit[2:] & self.joint[data[1:-1]]
         word = ~cut | inside
         first, last = word.copy(), word.copy()
-        first[1:] &= ~word[:-1]
-        last[:-1] &= ~word[1:]
+        first[1:] &= ~word[:-1] | parted[1:]
+        last[:-1] &= ~word[1:] | parted[1:]
         some = offs[:-1] < offs[1:]
         heads, tails = offs[:-1][some], offs[1:][some] - 1
         first[heads], last[tails] = word[heads], word[tails]
         return np.flatnonzero(first), np.flatnonzero(last) + 1
 
+    @staticmethod
+    def unspaced(data):
+        """First bytes of the characters of scripts without spaces, and of their punctuation."""
+        a, b, c = data, np.append(data[1:], [0]), np.append(data[2:], [0, 0])
+        at = lambda x, lo, hi: (x >= lo) & (x <= hi)
+        wide = (a == 0xE3) & (b == 0x80)
+        mark = wide & ~at(c, 0x85, 0x87)
+        mark |= (a == 0xEF) & (b == 0xBC) & (at(c, 0x81, 0x8F) | at(c, 0x9A, 0xA0) | (c >= 0xBB))
+        mark |= (a == 0xEF) & (b == 0xBD) & ((c == 0x80) | at(c, 0x9B, 0xA5))
+        alone = at(a, 0xE3, 0xE9) & ~mark
+        alone |= (a == 0xE0) & at(b, 0xB8, 0xBB) | (a == 0xE1) & (at(b, 0x80, 0x82) | at(b, 0x9E, 0x9F))
+        alone |= (a == 0xEF) & (at(b, 0xA4, 0xAB) | (b == 0xBD) & (c >= 0xA6) | (b == 0xBE) & (c <= 0x9D))
+        return alone | (a == 0xF0) & at(b, 0xA0, 0xB3), mark
+
+    def joined(self, data, h, starts, ends, kind):
+        """Hashes of words that follow another: a number after a number has the operators between them."""
+        operators = np.concatenate([[0], np.cumsum(self.operator[data])])
+        number = kind == 1
+        out = h.copy()
+        for i in np.flatnonzero(number[1:] & number[:-1] & (operators[starts[1:]] > operators[ends[:-1]])) + 1:
+            between = data[ends[i - 1] : starts[i]]
+            out[i] ^= np.uint64(zlib.crc32(between[self.operator[between]].tobytes()) + 1)
+        return out
+
     def __call__(self, data, offs):
         """Template hashes, hashes with names kept, hashes of all words, kind of each (0: plain, else 1 + place in KINDS), word starts and ends, row offsets."""
         h, starts, ends, at = super().__call__(data, offs)
@@ -98,10 +134,10 @@ def template_windows(rows: DataFrame, widths: list[int], literal: int, bitmap: n
     schema = "id bigint, pos int, n_words int, wide int, style int, hash bigint, slots array<struct<o:int,kind:string,value:string>>"
     slot = pa.list_(pa.struct([("o", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
 
-    def hashes(t, w):
+    def hashes(t, w, later):
         acc = t[: max(0, len(t) - w + 1)].copy()
         for j in range(1, w):
-            acc = mix(acc * np.uint64(0x9FB21C651E98DF25) + t[j : j + len(acc)])
+            acc = mix(acc * np.uint64(0x9FB21C651E98DF25) + later[j : j + len(acc)])
         return mix(acc + np.uint64(w))
 
     def run(batches):
@@ -110,16 +146,17 @@ def template_windows(rows: DataFrame, widths: list[int], literal: int, bitmap: n
             for part in slices(batch, "text"):
                 data, offs = text_bytes(part.column("text"))
                 template, worded, plainly, kind, starts, ends, at = templater(data, offs)
+                joined = templater.joined(data, plainly, starts, ends, kind)
                 ids = part.column("id").to_pylist()
                 out = []
                 row_of = np.repeat(np.arange(len(ids)), np.diff(at))
-                # the styles: hashes, kinds that are slots in it, plain words that a window needs
-                for style, t, slots_upto, least in ((0, plainly, 0, 0), (1, template, 4, literal), (2, worded, 2, literal)):
+                # the styles: hashes, those of words that follow another, kinds that are slots in it, plain words that a window needs
+                for style, t, later, slots_upto, least in ((0, plainly, joined, 0, 1), (1, template, template, 4, literal), (2, worded, worded, 2, literal)):
                     slot_at = (kind > 0) & (kind <= slots_upto)
                     plain = np.concatenate([[0], np.cumsum(~slot_at)])
                     styled = lambda x: mix(x + np.uint64(style))  # noqa: B023, E731
                     for w in widths:
-                        h = styled(hashes(t, w))
+                        h = styled(hashes(t, w, later))
                         if not len(h):
                             continue
                         ok = (row_of[: len(h)] == row_of[w - 1 :]) & (plain[w:] - plain[: len(h)] >= min(least, w))
@@ -129,8 +166,8 @@ def template_windows(rows: DataFrame, widths: list[int], literal: int, bitmap: n
                         out += [(int(i), w, h[i], style, slot_at) for i in np.flatnonzero(ok)]
                     if short:
                         for a, b in zip(at[:-1], at[1:]):
-                            if literal <= b - a < widths[0]:
-                                out.append((int(a), int(b - a), styled(hashes(t[a:b], int(b - a)))[0], style, slot_at))
+                            if least <= b - a < widths[0]:
+                                out.append((int(a), int(b - a), styled(hashes(t[a:b], int(b - a), later[a:b]))[0], style, slot_at))
                 cols = [[], [], [], [], [], [], []]
                 for i, w, x, style, slot_at in out:
                     r = row_of[i]

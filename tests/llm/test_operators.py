@@ -296,6 +296,15 @@ def test_one_edit_does_not_veto_verbatim_evidence(spark):
     assert not got[3].contaminated  # eight words of the document are not forty of the item
 
 
+def test_items_with_few_plain_words_are_found_verbatim(spark):
+    bench = [(1, "What is 7 times 8"), (2, "3 5 8 13 21 34 55 89 144 233 377 610"), (3, "12 + 30 = 42"), (4, "水の沸点は何度ですか。"), (5, "photosynthesis"), (6, "กรุงเทพ")]
+    rows = [(1, "so: what is 7 times 8, then?"), (2, "the list is 3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 377, 610 and more"), (3, "5 apples; 12 + 30 = 42."), (4, "問題は水の沸点は何度ですか、と書いた"), (5, "On Photosynthesis"),
+            (6, "ไปกรุงเทพแล้ว"), (7, "what is 7 times 9"), (8, "12 - 30 = 42"), (9, "水の温度は何度でしょうか"), (10, "photosyntheses")]
+    got = op07_decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string"))
+    got = {r.doc_id: r.item_ids for r in got.collect()}
+    assert got == {i: [i] if i < 7 else [] for i in range(1, 11)}
+
+
 # -- 8 ----------------------------------------------------------------------------------------------------------------
 
 
