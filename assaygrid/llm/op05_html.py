@@ -29,6 +29,7 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]
 CLASS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select", "button", "head"}
 RAW_TEXT = {"script", "style", "textarea", "title"}  # their content holds no tags
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW_TEXT}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = set("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody
@@ -61,26 +62,23 @@ class Page:
         self.stack: list[tuple[str, str, int]] = []  # tag, place, kind; 2: hidden
         self.text: list[str] = []
         self.linked = 0
-        raw_end = None
-        for m in TOKEN.finditer(html):
+        at = 0
+        while m := TOKEN.match(html, at):
+            at = m.end()
             tag = m[2]
             if tag is None:
                 s = m[0]
-                if raw_end is None and not s.startswith(("<!", "<?")):
+                if not s.startswith(("<!", "<?")):
                     self.data(s)
                 continue
             tag = tag.lower()
-            if raw_end is not None:
-                if m[1] and tag == raw_end:
-                    raw_end = None
-                    self.close(tag)
-                continue
             if m[1]:
                 self.close(tag)
             else:
                 self.open(tag, m[3])
-                if tag in RAW_TEXT:
-                    raw_end = tag
+                if tag in RAW_TEXT:  # up to the literal end tag, which is a token again
+                    end = RAW_END[tag].search(html, at)
+                    at = end.start() if end else len(html)
         self.flush()
 
     def data(self, s: str) -> None:

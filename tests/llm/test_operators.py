@@ -201,6 +201,16 @@ def test_main_text(spark):
     assert op05_html.main_texts(df.limit(0)).count() == 0
 
 
+def main_text_of(spark, pages):
+    df = spark.createDataFrame([(i, f"http://h{i}.example/", x) for i, x in enumerate(pages)], "page_id bigint, url string, html string")
+    return {r.page_id: r.text for r in op05_html.main_texts(df).collect()}
+
+
+def test_tags_inside_raw_text_are_no_tags(spark):
+    pages = ['<script>for(i=0;i<n;i++){s+="a"}</script><p>One', "<script>if(a<b)x='</p>'</SCRIPT ><p>Two", "<title>a <b</title><p>Three", "<script>x<y", "<style>a<b</style\n>Five"]
+    assert main_text_of(spark, pages) == {0: "One", 1: "Two", 2: "Three", 3: "", 4: "Five"}
+
+
 # -- 6 ----------------------------------------------------------------------------------------------------------------
 
 
