@@ -5,7 +5,7 @@ body down.  The trees of one host are merged: for every place the pages of the h
 there is spread (equal pages count once).  Content importance is the entropy of that spread over the log of the
 pages, shrunk to a neutral value while pages are few, times the part of the text outside links.  Presentation
 importance is 0 in navigation, footers, forms, adverts and the like, and beside an article; 1 in an article and
-around it; elsewhere the content decides.  A place's importance is the mean over its pages.  Branches of low
+around it, a form or a part like ``search-page`` too; elsewhere the content decides.  A place's importance is the mean over its pages.  Branches of low
 importance are taken out of every page of the host; what is left is written block by block in page order.
 
 Null or empty html gives the empty text.  Pages with a null url form one host.  Repeated rows are answered row by
@@ -43,6 +43,12 @@ NOT_TEXT = re.compile(
     replies|reply|respond|disqus\w*|masthead|toolbar|pagination|pager|search\w*|widget\w*|copyright|complementary|contentinfo|navigation)$""",
     re.I | re.X,
 )
+#: Names that tell a state of the page (has-sidebar), not a part of it.
+STATE = re.compile(r"^(?:has|have|no|not|with|without)[-_]|[-_](?:enabled|disabled)$", re.I)
+#: Words that a compound name may have for the layout around the article too: such a part can hold it.
+LAYOUT = re.compile(r"^(?:banner|nav|menu|sidebar|side|footer|masthead|toolbar|search|widget|modal|overlay|alert|notice)", re.I)
+#: Whole names of an article that is none.
+NO_ARTICLE = re.compile(r"^(?:(?:comment|reply|replies|respond|disqus)(?:[-_](?:body|content|item|text|\d+))*|ads?|advert\w*|sponsor\w*|promo|related|recommended)$", re.I)
 #: A start tag of the key closes open elements of the value, up to the nearest of the last.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -54,10 +60,19 @@ NEUTRAL, PRIOR_PAGES, LEAST = 0.5, 4.0, 0.35
 class Page:
     """Blocks of a page in order: (places from the top down with their kinds, text, characters inside links).
 
-    Kind of a place: -1 in a part that is no text, 1 in an article, else 0.
+    Kind of a place: -1 in a part that is no text, -2 or -3 (a form) in one that may hold an article, 1 in an article,
+    else 0.  Where forms hold more than half of the text, they are no mark of a part: one form is around the page.
     """
 
     def __init__(self, html: str):
+        self.forms = True
+        self.read(html)
+        sizes = [(len(text), places and places[-1][1] == -3) for places, text, _ in self.blocks]
+        if 2 * sum(n for n, form in sizes if form) > sum(n for n, _ in sizes):
+            self.forms = False
+            self.read(html)
+
+    def read(self, html: str) -> None:
         self.blocks: list[tuple[tuple[tuple[str, int], ...], str, int]] = []
         self.stack: list[tuple[str, str, int]] = []  # tag, place, kind; 2: hidden
         self.text: list[str] = []
@@ -127,12 +142,26 @@ class Page:
             kind = above
         elif tag in RAW:
             kind = 2
-        elif tag in OUTSIDE or tag == "header" and above != 1 or any(NOT_TEXT.match(p) for w in marks for p in (w, *re.split(r"[-_]+", w))):
-            kind = -1
         else:
-            kind = 1 if tag in INSIDE else above
+            kind = self.rejected(tag, marks, above) or (1 if tag in INSIDE else above)
+            if above < 0 and tag not in INSIDE and kind != -1:
+                kind = above
         self.stack.append((tag, place, kind))
 
+    def rejected(self, tag: str, marks: list[str], above: int) -> int:
+        """Kind of an element that is marked as no text, else 0."""
+        if tag in ("html", "body", "main"):
+            return 0
+        if tag == "article":
+            return -1 if any(NO_ARTICLE.match(w) for w in marks) else 0
+        if tag in OUTSIDE and tag != "form" or tag == "header" and above != 1:
+            return -1
+        names = [w for w in marks if not STATE.search(w)]
+        parts = [p for w in names for p in re.split(r"[-_]+", w) if NOT_TEXT.match(p)]
+        if any(NOT_TEXT.match(w) for w in names) or not all(LAYOUT.match(p) for p in parts):
+            return -1
+        return -2 if parts else -3 if tag == "form" and self.forms else 0
+
     def close(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
@@ -165,7 +194,7 @@ def place_rows(pages: DataFrame) -> DataFrame:
                     for places, text, linked in blocks:
                         h = zlib.crc32(text.encode()) | len(text) << 32
                         for p, kind in places:
-                            shown = 1.0 if p in around and kind >= 0 else 0.0 if kind < 0 or around else None
+                            shown = 1.0 if p in around and kind != -1 else 0.0 if kind < 0 or around else None
                             x = at.setdefault(p, [0, 0, 0, shown])
                             x[0], x[1], x[2] = (x[0] * 1000003 + h) % 2**61, x[1] + len(text), x[2] + linked
                     whole = zlib.crc32((html or "").encode()) | (len(html or "") << 32)

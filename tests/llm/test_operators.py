@@ -211,6 +211,18 @@ def test_tags_inside_raw_text_are_no_tags(spark):
     assert main_text_of(spark, pages) == {0: "One", 1: "Two", 2: "Three", 3: "", 4: "Five"}
 
 
+def test_marks_around_the_article_do_not_reject_it(spark):
+    article = "<article class='post has-sidebar'><p>One</p></article>"
+    rest = "<nav>Nav</nav><div class='sidebar'>Side</div><div class='related-posts'><article><p>Other story</p></article></div>"
+    comments = "<section class='comments'><article class='comment'><p>No</p></article></section><article class='comment-body'>No</article>"
+    around = ["<body class='has-sidebar'>{}", "<main class='no-sidebar search-enabled'>{}</main>", "<body class=sidebar>{}", "<body><form id=f>{}</form>", "<div class='search-page'>{}<p>x</p></div>"]
+    pages = [x.format(article + rest + comments) for x in around]
+    pages += ["<body class='no-sidebar'><p>Two</p><form>Name</form>", "<body><form id=f><div><p>Three</p></div></form>", "<body><p>Long enough text</p><form>Name</form>"]
+    got = main_text_of(spark, pages)
+    assert [got[i] for i in range(4)] == ["One"] * 4 and got[4] == "One"
+    assert got[6] == "Three" and got[7] == "Long enough text"
+
+
 # -- 6 ----------------------------------------------------------------------------------------------------------------
 
 
