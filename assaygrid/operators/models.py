@@ -11,27 +11,32 @@ from assaygrid.operators import clean, comparisons, normalize
 from assaygrid.operators.base import attach_scalars, div, top_k
 
 
-def linear_model(matrix: DataFrame, design: DataFrame, factor: str, covariates: list[str], most_samples: int = 100_000) -> DataFrame:
+def linear_model(matrix: DataFrame, design: DataFrame, factor: str, covariates: list[str]) -> DataFrame:
     """beta of ``factor`` (0/1 or numeric) with covariates per feature that all samples have; Wald z with the residual variance.
 
-    The design (one row a sample) comes to the driver and raises above ``most_samples``; the data do not.
+    The sums of products of the design's terms are one aggregate; only that matrix (terms by terms) comes to the driver.
     """
-    rows = design.select("sample", *[F.col(c).cast("double").alias(c) for c in (factor, *covariates)]).limit(most_samples + 1).collect()
-    if len(rows) > most_samples:
-        raise ValueError(f"the design has more than {most_samples} samples")
-    x = np.array([[1.0, *(r[c] for c in (factor, *covariates))] for r in rows])
-    inverse = np.linalg.pinv(x.T @ x)
-    weights = inverse @ x.T
-    spark = matrix.sparkSession
-    w = spark.createDataFrame([(r["sample"], weights[:, i].tolist(), x[i].tolist()) for i, r in enumerate(rows)], "sample string, w array<double>, x array<double>")
-    k = x.shape[1]
+    terms = [F.lit(1.0), *[F.col(c).cast("double") for c in (factor, *covariates)]]
+    k = len(terms)
+    rows = design.select("sample", F.array(*terms).alias("x"))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = rows.agg(F.count(F.lit(1)), F.count_if(F.exists("x", F.isnull)), *[F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in pairs]).first()
+    n = sums[0]
+    if sums[1]:
+        raise ValueError("the design has empty cells")
+    square = np.zeros((k, k))
+    for (i, j), v in zip(pairs, sums[2:]):
+        square[i, j] = square[j, i] = v or 0.0
+    inverse = np.linalg.pinv(square)
+    weights = [sum((F.lit(float(a)) * F.col("x")[i] for i, a in enumerate(line)), F.lit(0.0)) for line in inverse]
+    w = rows.select("sample", F.array(*weights).alias("w"), "x")
     m = matrix.join(w, "sample").filter("value is not null")
     beta = m.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("base_mean"), F.array(*[F.sum(F.col("value") * F.col("w")[j]) for j in range(k)]).alias("b"))
-    beta = beta.filter(F.col("n") == len(rows))
+    beta = beta.filter(F.col("n") == n)
     fitted = F.aggregate(F.zip_with("x", "b", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     rss = m.join(beta.select("feature", "b"), "feature").groupBy("feature").agg(F.sum(F.pow(F.col("value") - fitted, F.lit(2))).alias("rss"))
     t = beta.join(rss, "feature")
-    se = F.sqrt(F.col("rss") / (len(rows) - k) * F.lit(float(inverse[1, 1])))
+    se = F.sqrt(F.col("rss") / (n - k) * F.lit(float(inverse[1, 1])))
     t = t.select("feature", "n", "base_mean", F.col("b")[1].alias("beta"), se.alias("se")).withColumn("z", div("beta", "se"))
     return t.withColumn("p", dist.norm_sf("z"))
 
@@ -121,28 +126,29 @@ def top_loadings(loadings: DataFrame, n: int) -> DataFrame:
     return t.orderBy(F.desc("size"), "feature").limit(n)
 
 
-def batch_corrected(matrix: DataFrame, design: DataFrame, most_samples: int = 100_000) -> DataFrame:
+def batch_corrected(matrix: DataFrame, design: DataFrame) -> DataFrame:
     """Location and scale of batches removed with the groups protected: values are fitted by group and batch, the batch part
     (centred over the samples) is taken out, and residuals are scaled from their batch's sd to the sd of all.
 
-    Features that all samples have are corrected, others are left out.  The design (sample, grp, batch) comes to the
-    driver and raises above ``most_samples``.
+    Features that all samples have are corrected, others are left out.  Of the design (sample, grp, batch) only the counts
+    by group and batch come to the driver.
     """
-    rows = design.select("sample", "grp", "batch").limit(most_samples + 1).collect()
-    if len(rows) > most_samples:
-        raise ValueError(f"the design has more than {most_samples} samples")
-    groups, batches = (sorted({r[c] for r in rows}) for c in ("grp", "batch"))
-    x = np.array([[1.0, *(float(r.grp == g) for g in groups[1:]), *(float(r.batch == b) for b in batches[1:])] for r in rows])
+    cells = design.groupBy("grp", "batch").agg(F.count(F.lit(1)).alias("n")).collect()
+    groups, batches = (sorted({r[c] for r in cells}) for c in ("grp", "batch"))
+    x = np.array([[1.0, *(float(r.grp == g) for g in groups[1:]), *(float(r.batch == b) for b in batches[1:])] for r in cells])
+    count = np.array([[float(r.n)] for r in cells])
+    n = int(count.sum())
     first = len(groups)  # batch columns start here
-    z = x[:, first:] - x[:, first:].mean(axis=0)
-    weights = np.linalg.pinv(x)
-    w = matrix.sparkSession.createDataFrame(
-        [(r["sample"], r.batch, weights[:, i].tolist(), x[i].tolist(), z[i].tolist()) for i, r in enumerate(rows)],
-        "sample string, batch string, w array<double>, x array<double>, z array<double>",
+    z = x[:, first:] - (count * x[:, first:]).sum(axis=0) / n
+    weights = x @ np.linalg.pinv(x.T @ (count * x), rcond=1e-12, hermitian=True)
+    by_cell = matrix.sparkSession.createDataFrame(
+        [(r.grp, r.batch, weights[i].tolist(), x[i].tolist(), z[i].tolist()) for i, r in enumerate(cells)],
+        "grp string, batch string, w array<double>, x array<double>, z array<double>",
     )
+    w = design.select("sample", "grp", "batch").join(by_cell, ["grp", "batch"]).drop("grp")
     m = matrix.select("feature", "sample", "value").filter("value is not null").join(w, "sample")
     k = x.shape[1]
-    beta = m.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"), F.array(*[F.sum(F.col("value") * F.col("w")[j]) for j in range(k)]).alias("b")).filter(F.col("_n") == len(rows))
+    beta = m.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"), F.array(*[F.sum(F.col("value") * F.col("w")[j]) for j in range(k)]).alias("b")).filter(F.col("_n") == n)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     t = m.join(beta.select("feature", "b"), "feature")
     t = t.withColumn("_e", F.col("value") - dot("x", "b")).withColumn("_batch", dot("z", F.slice("b", first + 1, k)))

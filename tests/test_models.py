@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assaygrid.operators import joins, models, pairs, scans, sinks
 
@@ -116,3 +117,18 @@ def test_permutation_q(spark):
     raw = [sum(p >= abs(z) for p in perm) / 2 / sum(abs(y) >= abs(z) for *_, y in obs) for *_, z in obs]
     want = [min(1, min(raw[i:])) for i in range(4)]
     assert [got[k] for k in "bcde"] == pytest.approx(want)
+
+
+def test_designs_of_any_size_stay_off_the_driver(spark):
+    n = 100_002
+    d = spark.range(n).select(F.col("id").cast("string").alias("sample"), (F.col("id") % 2).alias("g"), (F.col("id") % 7).alias("c"))
+    noise = F.when(F.col("sample").cast("int") % 4 < 2, 0.5).otherwise(-0.5)
+    m = d.select(F.lit("f").alias("feature"), "sample", (3 + 2 * F.col("g") - F.col("c") + noise).alias("value"))
+    got = models.linear_model(m, d, "g", ["c"]).collect()
+    assert len(got) == 1 and got[0].n == n and abs(got[0].beta - 2) < 1e-2
+    named = d.select("sample", F.concat(F.lit("g"), "g").alias("grp"), F.concat(F.lit("b"), "c").alias("batch"))
+    means = models.batch_corrected(m, named).join(named, "sample").groupBy("grp", "batch").agg(F.avg("value").alias("v")).collect()
+    assert len(means) == 14
+    for g in ("g0", "g1"):
+        at = [r.v for r in means if r.grp == g]
+        assert max(at) - min(at) < 1e-2
