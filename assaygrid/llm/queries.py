@@ -12,6 +12,7 @@ from assaygrid.llm.op07_decontaminate import op7_benchmark_decontamination
 from assaygrid.llm.op08_minhash import op8_minhash_near_duplicates
 from assaygrid.llm.op09_mixing import op9_mix_sources, op9_sql
 from assaygrid.llm.op10_secrets import op10_secret_scan
+from assaygrid.llm.op12_merkle import op12_merkle_manifest, op12_sql
 
 QUERIES = {
     f.__name__: f
@@ -26,6 +27,7 @@ QUERIES = {
         op8_minhash_near_duplicates,
         op9_mix_sources,
         op10_secret_scan,
+        op12_merkle_manifest,
     )
 }
-SQL: dict[str, str] = {"op3_embedding_near_duplicates": OP3_SQL, "op9_mix_sources": op9_sql()}
+SQL: dict[str, str] = {"op3_embedding_near_duplicates": OP3_SQL, "op9_mix_sources": op9_sql(), "op12_merkle_manifest": op12_sql()}
