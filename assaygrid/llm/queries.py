@@ -12,7 +12,9 @@ from assaygrid.llm.op07_decontaminate import op7_benchmark_decontamination
 from assaygrid.llm.op08_minhash import op8_minhash_near_duplicates
 from assaygrid.llm.op09_mixing import op9_mix_sources, op9_sql
 from assaygrid.llm.op10_secrets import op10_secret_scan
+from assaygrid.llm.op11_conversations import op11_conversation_repair, op11_sql
 from assaygrid.llm.op12_merkle import op12_merkle_manifest, op12_sql
+from assaygrid.llm.op13_quality import op13_quality_classifier
 
 QUERIES = {
     f.__name__: f
@@ -27,7 +29,14 @@ QUERIES = {
         op8_minhash_near_duplicates,
         op9_mix_sources,
         op10_secret_scan,
+        op11_conversation_repair,
         op12_merkle_manifest,
+        op13_quality_classifier,
     )
 }
-SQL: dict[str, str] = {"op3_embedding_near_duplicates": OP3_SQL, "op9_mix_sources": op9_sql(), "op12_merkle_manifest": op12_sql()}
+SQL: dict[str, str] = {
+    "op3_embedding_near_duplicates": OP3_SQL,
+    "op9_mix_sources": op9_sql(),
+    "op11_conversation_repair": op11_sql(),
+    "op12_merkle_manifest": op12_sql(),
+}
