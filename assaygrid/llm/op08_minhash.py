@@ -6,12 +6,12 @@ probability below ``miss``; every pair within ``t`` is found: cut into t//2 + 1
 at most one differing position (pigeonhole), so each chunk is keyed with every position left out once.
 
 Links are confirmed on full sets.  Texts with the same set are one class.  No bucket emits its pairs.  The buckets
-with the same smallest member form one group, and groups with the same pivot (the member that agrees best with the
-group's commonest signature values) are joined; members are measured against the pivot, and the links found are
-joined to components.  Only
-members of a group in different components are compared with each other, inside the condition of one join that
-emits nothing but links: set sizes, what the overlap with the pivot allows, the signature distance, and last the full
-sets.  So no link between components is lost, no bucket is capped, and large groups of copies give few rows.
+with the same smallest member form one group; its pivot is the member whose buckets hold most members, and groups with
+the same pivot are joined.  A member's set meets the pivot's set once; what it lacks and what it has besides is kept,
+which is little for near copies and gives the exact overlap of any two members.  Members that are linked to the pivot
+are one component; the others are compared with all members of the group, in blocks of about ``TILE`` by ``TILE``
+members that are tasks of their own, and a block returns a forest of its links.  So no link is lost, no bucket is
+capped, and no task holds a group; the work is quadratic only in the members that their pivot does not link.
 
 Null or blank texts have an empty set and link with nothing.  Rows with a null doc_id link with nothing and have a
 null component (kept is true).  Repeated rows are answered row by row; a doc_id that stands for several texts is one
@@ -25,12 +25,16 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaygrid.llm.base import WordHasher, components, mix, signed, slices, table, text_bytes, windows
+from assaygrid.llm.base import WordHasher, mix, signed, slices, table, text_bytes, windows
 from assaygrid.session import cut_lineage
 
+TILE = 512  # members in a row or column of a block
+TILE_ITEMS = 500_000  # items in it
+LINKS_A_TASK = 100_000
+
 
 def distance_bound(positions: int, similarity: float, miss: float) -> int:
     """Smallest t with P(more than t of the positions differ) <= miss at this similarity."""
@@ -120,7 +124,7 @@ def bucket_members(reps: DataFrame, positions: int, t: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, items): shingle sets of the named documents."""
+    """(id, items): shingle sets of the named documents, one for each text of a document."""
 
     def run(batches):
         words = WordHasher()
@@ -131,31 +135,135 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.concat_arrays([pa.array([], pa.int64()), *sets]))
                 yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "items"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates()
-    return rows.mapInArrow(run, "id bigint, items array<bigint>")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(ids, "id", "left_semi")
+    once = rows.withColumn("_h", F.xxhash64("text")).dropDuplicates(["id", "_h"]).select("id", "text")
+    return once.mapInArrow(run, "id bigint, items array<bigint>")
 
 
-def differing(u: str, w: str, longs: int) -> Column:
-    """How many 16-bit values of two signatures differ."""
-    total = F.lit(0)
-    for j in range(longs):
-        x = F.get(F.col(u), F.lit(j)).bitwiseXOR(F.get(F.col(w), F.lit(j)))
-        for n in (8, 4, 2, 1):  # the lowest bit of each value tells whether any of its bits is set
-            x = x.bitwiseOR(F.shiftrightunsigned(x, n))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
-    return total
+def pivot_groups(classes: DataFrame, positions: int, t: int) -> DataFrame:
+    """(p, id): each member of a bucket with the pivot of the bucket's group."""
+    members = bucket_members(classes, positions, t)
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("r")).filter("size > 1")
+    near = members.join(buckets, "key").groupBy("r", "id").agg(F.sum("size").alias("size"))
+    near = cut_lineage(near)
+    pivots = near.groupBy("r").agg(F.max(F.struct("size", -F.col("id"))).alias("x")).select("r", (-F.col("x.col2")).alias("p"))
+    return near.join(pivots, "r").select("p", "id").distinct()
 
 
-def with_pivot(groups: DataFrame, longs: int) -> DataFrame:
-    """``groups`` (r, id, sig, ...) with pivot p: the member sharing most of the group's commonest values, then the smallest."""
-    values = groups.select("r", F.posexplode(F.transform("sig", lambda x: x.bitwiseAND(F.lit(0xFFFF)))).alias("j", "v"))
-    common = values.groupBy("r", "j", "v").agg(F.count(F.lit(1)).alias("c")).groupBy("r", "j").agg(F.max(F.struct("c", "v")).alias("m"))
-    common = common.groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct("j", "m.v"))).alias("common"))  # one value for each long
-    agree = F.lit(0)
-    for j in range(longs):
-        agree = agree + (F.get("sig", F.lit(j)).bitwiseAND(F.lit(0xFFFF)) == F.try_element_at("common", F.lit(j))).cast("int")
-    best = groups.join(common, "r").select("r", "id", agree.alias("agree")).groupBy("r").agg(F.max(F.struct("agree", -F.col("id"))).alias("x"))
-    return groups.join(best.select("r", (-F.col("x.col2")).alias("p")), "r")
+def against_pivot(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(p, id, size, base, lacks, extra): items of the pivot's set (``base`` of them) that a member lacks, and its others."""
+    own = groups.join(sets.select("id", F.col("items").alias("x")), "id")
+    # a document with several texts is a pivot by one of them: any set will do to tell two members' overlap
+    pivots = groups.select(F.col("p").alias("id")).distinct().join(sets, "id").groupBy(F.col("id").alias("p")).agg(F.min("items").alias("y"))
+    both = own.join(pivots, "p")
+    return both.select("p", "id", F.size("x").alias("size"), F.size("y").alias("base"), F.array_except("y", "x").alias("lacks"), F.array_except("x", "y").alias("extra"))
+
+
+def shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many items each list of ``a`` has in common with each of ``b``."""
+    flat_a, flat_b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
+    both = np.intersect1d(flat_a, flat_b)
+    out = np.zeros((len(a), len(b)), np.float32)
+    rows_a, rows_b = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    keep_a, keep_b = np.isin(flat_a, both), np.isin(flat_b, both)
+    at_a, at_b = np.searchsorted(both, flat_a[keep_a]), np.searchsorted(both, flat_b[keep_b])
+    rows_a, rows_b = rows_a[keep_a], rows_b[keep_b]
+    for lo in range(0, len(both), 2048):  # columns of a bounded number of items at once
+        in_a, in_b = (at_a >= lo) & (at_a < lo + 2048), (at_b >= lo) & (at_b < lo + 2048)
+        width = min(2048, len(both) - lo)
+        x, y = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
+        x[rows_a[in_a], at_a[in_a] - lo] = 1
+        y[rows_b[in_b], at_b[in_b] - lo] = 1
+        out += x @ y.T
+    return out
+
+
+def forest(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest over the nodes ``a`` (rows) and ``b`` (columns) with the components of the links."""
+    some = linked.any(1)
+    linked, a = linked[some], a[some]
+    b_names, back = np.unique(b, return_inverse=True)
+    left, right = a.copy(), b_names.copy()
+    if not len(a):
+        return a, a
+    twice = np.flatnonzero(np.isin(a, b_names))  # nodes that stand on both sides
+    place = np.searchsorted(b_names, a[twice])
+    while True:
+        low = np.where(linked, right[back], np.iinfo(np.int64).max)
+        new = np.minimum(left, low.min(1))
+        high = np.where(linked, new[:, None], np.iinfo(np.int64).max).min(0)
+        column = right.copy()
+        np.minimum.at(column, back, high)
+        new[twice] = np.minimum(new[twice], column[place])
+        np.minimum.at(column, place, new[twice])
+        if np.array_equal(new, left) and np.array_equal(column, right):
+            break
+        left, right = new, column
+    nodes, roots = np.concatenate([a, b_names]), np.concatenate([left, right])
+    moved = nodes != roots
+    return nodes[moved], roots[moved]
+
+
+def block_links(star: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members that the pivot does not link and the other members of their group."""
+    tiles = lambda n: F.ceil(F.col(n) / TILE)
+    weight = (F.size("lacks") + F.size("extra") + 50).cast("bigint")  # a tile is bounded in items, too
+    star = star.filter("id <> p or size(lacks) > 0 or size(extra) > 0")  # all but the pivot by its own set
+    counts = star.groupBy("p").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(~F.col("near"), 1).otherwise(0)).alias("n_apart"),
+        F.sum(weight).alias("w"), F.sum(F.when(~F.col("near"), weight).otherwise(F.lit(0))).alias("w_apart"),
+    )
+    counts = counts.filter("n_apart > 0 and n > 1")
+    parts = lambda n, w: F.greatest(tiles(n), F.ceil(F.col(w) / TILE_ITEMS)).cast("int")
+    counts = counts.select("p", parts("n", "w").alias("cols"), parts("n_apart", "w_apart").alias("rows"))
+    m = star.join(counts, "p")
+    shown = ["p", "id", "size", "base", "lacks", "extra", "near"]
+    tile = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    row = m.filter("not near").select(*shown, F.lit(True).alias("row"), tile("rows").alias("i"), every("cols").alias("j"))
+    col = m.select(*shown, F.lit(False).alias("row"), tile("cols").alias("j"), every("rows").alias("i"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        row = np.asarray(t.column("row").combine_chunks().to_numpy(zero_copy_only=False), bool)
+        get = lambda c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        ids, size, near, base = get("id"), get("size").astype(np.int64), get("near").astype(bool), int(get("base")[0]) if t.num_rows else 0
+        lists = {c: [np.asarray(x, np.int64) for x in get(c)] for c in ("lacks", "extra")}
+        r, c = np.flatnonzero(row), np.flatnonzero(~row)
+        if not len(r) or not len(c):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        pick = lambda name, at: [lists[name][k] for k in at]
+        short = lambda at: np.array([len(x) for x in pick("lacks", at)])
+        # |u & w| = |p| - |u lacks| - |w lacks| + lacked by both + extra in both
+        both = base - short(r)[:, None] - short(c)[None, :] + shared(pick("lacks", r), pick("lacks", c)) + shared(pick("extra", r), pick("extra", c))
+        both = np.rint(both).astype(np.int64)
+        linked = (100 * both >= percent * (size[r][:, None] + size[c][None, :] - both)) & (ids[r][:, None] != ids[c][None, :])
+        pivot = int(get("p")[0])
+        a, b = forest(linked, ids[r], np.where(near[c], pivot, ids[c]))  # what the pivot links is one node already
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return row.unionByName(col).groupBy("p", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
+def joined_components(links: DataFrame) -> DataFrame:
+    """(node, component) as ``components`` gives, every exchange cut to the number of links left."""
+    sized = lambda df, n, key: df.repartition(max(1, n // LINKS_A_TASK), key)
+    e = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v"))
+    n, seen = e.count(), None
+    while True:
+        both = sized(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), n, "u")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        large = sized(large, n, "u").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        pairs = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+        small = large.join(low, "u").select(pairs.alias("x")).select("x.u", "x.v").filter("u <> v")
+        e = cut_lineage(sized(small, n, "u").distinct())
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == seen:
+            break
+        seen, n = now, now[0]
+    roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
 def near_duplicates(
@@ -166,50 +274,17 @@ def near_duplicates(
     Documents are linked when 100 * |A ∩ B| >= percent * |A ∪ B| over their sets of ``shingle`` consecutive words.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    t, longs = distance_bound(positions, percent / 100, miss), positions // 4
+    t = distance_bound(positions, percent / 100, miss)
     sig = cut_lineage(signatures(docs, shingle, positions))
-    classes = cut_lineage(
-        sig.filter("set_id is not null and doc_id is not null")
-        .groupBy("set_id")
-        .agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"))
-    )
-    members = bucket_members(classes, positions, t)
-    stats = members.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.min("id").alias("r"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who")
-    )
-    # many keys hold the same members: one of them is enough
-    buckets = stats.filter("size > 1").groupBy("size", "r", "who").agg(F.min("key").alias("key")).select("key", "r")
-    groups = cut_lineage(members.join(buckets, "key").select("r", "id").distinct())
-    sets = cut_lineage(full_sets(docs, groups.select("id").distinct(), shingle))
-    # groups with one pivot are one group: each member's set is needed once for a pivot
-    groups = cut_lineage(with_pivot(groups.join(classes.select("id", "sig"), "id"), longs).select("p", "id").distinct())
-    pivots = groups.select("p").distinct().join(sets.select(F.col("id").alias("p"), F.col("items").alias("y")), "p")
-    own = groups.join(sets.select("id", F.col("items").alias("x")), "id")
-    both = F.size(F.array_intersect("x", "y"))
-    star = own.join(pivots, "p").select("p", "id", F.size("x").alias("n"), both.alias("i"), F.size("y").alias("np"))
-    star = cut_lineage(star)
-    links = star.filter("id <> p").filter(F.col("i") * 100 >= (F.col("n") + F.col("np") - F.col("i")) * percent).select(F.col("id").alias("a"), F.col("p").alias("b"))
-    comp = components(links)
-    where = star.join(comp.withColumnRenamed("node", "id"), "id", "left").select("p", "id", "i", F.coalesce("component", "id").alias("comp"))
-    apart = where.groupBy("p").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("p")
-    where = cut_lineage(where.join(apart, "p"))
-    open_ = where.join(sets.select("id", F.col("items").alias("x"), F.size("items").alias("n")), "id").join(classes.select("id", "sig"), "id")
-    u = open_.select("p", *[F.col(c).alias(f"u_{c}") for c in open_.columns if c != "p"])
-    w = open_.select("p", *[F.col(c).alias(f"w_{c}") for c in open_.columns if c != "p"])
-    # |u ∩ w| must reach percent / (100 + percent) of both sizes; outside the pivot's set it is at most the smaller rest
-    most = F.least("u_i", "w_i") + F.least(F.col("u_n") - F.col("u_i"), F.col("w_n") - F.col("w_i"))
-    enough = lambda i: i * (100 + percent) >= (F.col("u_n") + F.col("w_n")) * percent
-    linked = (
-        (F.col("u_id") < F.col("w_id"))
-        & (F.col("u_comp") != F.col("w_comp"))
-        & (F.least("u_n", "w_n") * 100 >= F.greatest("u_n", "w_n") * percent)
-        & enough(most)
-        & (differing("u_sig", "w_sig", longs) <= t)
-        & enough(F.size(F.array_intersect("u_x", "w_x")))
-    )
-    more = cut_lineage(u.join(w, "p").filter(linked).select(F.col("u_id").alias("a"), F.col("w_id").alias("b")))
-    if not more.isEmpty():
-        comp = components(links.union(more))
+    named = sig.filter("set_id is not null and doc_id is not null")
+    classes = cut_lineage(named.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")))
+    groups = cut_lineage(pivot_groups(classes, positions, t))
+    sets = full_sets(docs, groups.select("id").distinct(), shingle)
+    star = against_pivot(groups, cut_lineage(sets))
+    both = F.col("base") - F.size("lacks")
+    star = cut_lineage(star.withColumn("near", (F.col("id") == F.col("p")) | (both * 100 >= (F.col("size") + F.col("base") - both) * percent)))
+    links = star.filter("near and id <> p").select(F.col("id").alias("a"), F.col("p").alias("b")).union(block_links(star, percent))
+    comp = joined_components(links)
     named = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("set_id", F.coalesce("component", "id").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     cid = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
