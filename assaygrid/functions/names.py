@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 GREEK = (("α", "alpha"), ("β", "beta"), ("γ", "gamma"), ("δ", "delta"), ("ω", "omega"))
-HOURS = (("s", 1 / 3600), ("sec", 1 / 3600), ("min", 1 / 60), ("m", 1 / 60), ("h", 1.0), ("hr", 1.0), ("d", 24.0), ("day", 24.0), ("days", 24.0))
+UNITS = ((1 / 3600, "s sec secs second seconds"), (1 / 60, "m min mins minute minutes"), (1.0, "h hr hrs hour hours"), (24.0, "d day days"))
 
 
 def name_key(name: Column) -> Column:
@@ -53,17 +53,19 @@ def formula_elements(formula: Column) -> Column:
 
 
 def isotopologue(label: Column) -> Column:
-    """Number of labels in ``M+3``, ``m3``, ``13C3`` style labels or a bare number; NULL otherwise."""
-    text = F.trim(label)
-    digits = F.regexp_extract(text, r"(?i)^(?:m\s*\+?|13c-?|c13-?)?\s*([0-9]{1,3})(?:\.0)?$", 1)
+    """Number of labels in ``M+3``, ``m3``, ``M_3``, ``ISO3``, ``13C3`` style labels, a bare number, or a name that ends in ``M+3``; NULL otherwise."""
+    text = F.upper(F.regexp_replace(label, r"\s+", ""))
+    whole = F.regexp_extract(text, r"^(?:M\+?|M_|ISO|13C-?|C13-?)?([0-9]{1,3})(?:\.0)?$", 1)
+    tail = F.regexp_extract(text, r"M\+?([0-9]{1,3})$", 1)
+    digits = F.when(whole != "", whole).otherwise(tail)
     return F.when(digits != "", digits.cast("int"))
 
 
 def hours(text: Column, unit: str = "h") -> Column:
-    """Hours of ``30 min``, ``1.5h``, ``2 d`` or a bare number in ``unit``; NULL otherwise."""
+    """Hours of ``30 min``, ``1.5h``, ``2 days`` or a bare number in ``unit``; NULL otherwise."""
     t = F.lower(F.trim(text))
     number, word = F.regexp_extract(t, r"^([0-9]+(?:\.[0-9]+)?)\s*([a-z]*)$", 1), F.regexp_extract(t, r"^([0-9]+(?:\.[0-9]+)?)\s*([a-z]*)$", 2)
-    factor = F.create_map(*[F.lit(x) for kv in HOURS for x in kv])
+    factor = F.create_map(*[F.lit(x) for size, words in UNITS for w in words.split() for x in (w, size)])
     return F.when(number != "", number.cast("double") * F.try_element_at(factor, F.when(word == "", unit).otherwise(word)))
 
 

@@ -96,6 +96,20 @@ def mid_ranks(df: DataFrame, keys, value: str, out: str = "mid_rank", bounded: b
     return join_same(df, t, [*keys, value], "left")
 
 
+def numbered(df: DataFrame, keys, order, out: str = "place") -> DataFrame:
+    """``df`` with the number (from 1) of each row inside its key; keys and order tell rows apart.
+
+    Rows are range-partitioned by key and order; what a range holds of a key is counted and carried to the next ones.
+    """
+    keys = list(keys)
+    d = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    d = cut_lineage(d.withColumn("_at", F.monotonically_increasing_id())).withColumn("_b", F.shiftright("_at", 33))
+    ranges = d.groupBy(*keys, "_b").agg(F.min("_at").alias("_lo"), F.count(F.lit(1)).alias("_n"))
+    before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*keys, "_b", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_lo") + 1).alias("_shift"))
+    return join_same(d, ranges, [*keys, "_b"]).withColumn(out, F.col("_at") + F.col("_shift")).drop("_at", "_b", "_shift")
+
+
 def top_k(df: DataFrame, keys, order, k: int, out: str = "place") -> DataFrame:
     """The first k rows of each key; ranked per partition of the input first, so a large key is cut before it is gathered."""
     part = df.withColumn("_p", F.spark_partition_id())

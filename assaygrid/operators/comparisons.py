@@ -159,11 +159,20 @@ def pairwise_welch(rows: DataFrame, keys=("feature",)) -> DataFrame:
 
 
 def tukey_kramer(rows: DataFrame, keys=("feature",)) -> DataFrame:
-    """Studentised range statistic of every pair of groups with the pooled variance."""
+    """Studentised range statistic and p of every pair of groups with the pooled variance."""
     a = anova(rows, keys).select(*keys, "k", "df2", div("ss_within", "df2").alias("_mse"))
     t = join_same(pairwise_welch(rows, keys).select(*keys, "grp_a", "grp_b", "n_a", "n_b", "diff"), a, keys)
     se = F.sqrt(F.col("_mse") / 2 * (1 / F.col("n_a") + 1 / F.col("n_b")))
-    return t.withColumn("q_stat", div(F.abs("diff"), se)).drop("_mse")
+    t = t.withColumn("q_stat", div(F.abs("diff"), se)).drop("_mse")
+    return t.withColumn("p", dist.srange_sf("q_stat", F.col("k").cast("double"), F.col("df2").cast("double")))
+
+
+def games_howell(rows: DataFrame, keys=("feature",)) -> DataFrame:
+    """Studentised range statistic and p of every pair of groups with the groups' own variances."""
+    groups = rows.filter(F.col("value").isNotNull()).groupBy(*keys).agg(F.count_distinct("grp").cast("double").alias("k"))
+    t = join_same(pairwise_welch(rows, keys), groups, keys)
+    t = t.withColumn("q_stat", div(F.abs("diff"), F.sqrt((F.col("var_a") / F.col("n_a") + F.col("var_b") / F.col("n_b")) / 2)))
+    return t.withColumn("p", dist.srange_sf("q_stat", "k", "df"))
 
 
 def contrasts(matrix: DataFrame, members: DataFrame, method: str = "welch", family=("contrast",)) -> DataFrame:
@@ -213,7 +222,7 @@ def two_way(rows: DataFrame, a: str, b: str, keys=("feature",)) -> DataFrame:
 
 
 def moderated_t(rows: DataFrame, a: str, b: str, keys=("feature",)) -> DataFrame:
-    """Pooled variances shrunk to a common prior (moments of the log variances), moderated t with d0 + df degrees."""
+    """Pooled variances shrunk to a common prior (moments of the log variances), moderated t with d0 + df degrees, its p and signed normal z."""
     t = student(rows, a, b, keys)
     se2 = div(F.pow(div(F.col("mean_a") - F.col("mean_b"), "t"), F.lit(2)), div(F.lit(1.0), "n_a") + div(F.lit(1.0), "n_b"))
     t = cut_lineage(t.withColumn("s2", se2).withColumn("df", F.col("df").cast("double")))
@@ -234,7 +243,11 @@ def moderated_t(rows: DataFrame, a: str, b: str, keys=("feature",)) -> DataFrame
     else:
         post, df_all = (F.lit(d0 * s02) + F.col("df") * F.col("s2")) / (F.lit(d0) + F.col("df")), F.col("df") + d0
     se = F.sqrt(post * (div(F.lit(1.0), "n_a") + div(F.lit(1.0), "n_b")))
-    return t.withColumn("s2_post", post).withColumn("df_total", df_all).withColumn("t_mod", div(F.col("mean_a") - F.col("mean_b"), se)).drop("t")
+    t = t.withColumn("s2_post", post).withColumn("df_total", df_all).withColumn("t_mod", div(F.col("mean_a") - F.col("mean_b"), se)).drop("t")
+    normal = F.col("df_total") == float("inf")
+    p = F.when(normal, dist.norm_sf("t_mod")).otherwise(dist.t_sf("t_mod", F.when(~normal, F.col("df_total")).otherwise(1.0)))
+    t = t.withColumn("p_mod", p)
+    return t.withColumn("z_mod", -F.signum("t_mod") * dist.norm_ppf(F.greatest(F.col("p_mod") / 2, F.lit(1e-300))))
 
 
 def cramers_v(meta: DataFrame, x: str, y: str) -> DataFrame:

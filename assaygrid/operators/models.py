@@ -83,15 +83,6 @@ def default_pipeline(matrix: DataFrame, samples: DataFrame, max_missing: float =
     return normalize.median_iqr(full, ("sample",), clean.strict_log2(matrix))
 
 
-def target_ranking(features: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Weighted sum of columns scaled to their largest absolute value; NULL counts as 0."""
-    tops = features.agg(*[F.max(F.abs(c)).alias(f"_{c}") for c in weights])
-    score = sum((F.lit(w) * F.coalesce(div(F.col(c), f"_{c}"), F.lit(0.0)) for c, w in weights.items()), F.lit(0.0))
-    return attach_scalars(features, tops).withColumn("score", score).drop(*[f"_{c}" for c in weights])
-
-
-
-
 def pca(matrix: DataFrame, k: int = 2, most_features: int = 5000) -> tuple[DataFrame, DataFrame, list[float]]:
     """Scores (sample, pc, score), loadings (feature, pc, loading) and explained variance shares of centred samples.
 

@@ -54,7 +54,7 @@ def align_samples(matrix: DataFrame, meta: DataFrame) -> DataFrame:
 def set_lines(lines: DataFrame) -> DataFrame:
     """Set file lines (name, description, members, tab separated) as (set_id, member); repeated members count once."""
     parts = F.split("line", "\t")
-    return lines.select(F.trim(F.get(parts, F.lit(0))).alias("set_id"), F.explode(F.slice(parts, 3, 1_000_000)).alias("member")).select("set_id", F.upper(F.trim("member")).alias("member")).filter("member <> ''").distinct()
+    return lines.select(F.trim(F.get(parts, F.lit(0))).alias("set_id"), F.explode(F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0)))).alias("member")).select("set_id", F.upper(F.trim("member")).alias("member")).filter("member <> ''").distinct()
 
 
 def id_list(lines: DataFrame) -> DataFrame:

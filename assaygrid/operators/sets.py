@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaygrid.functions import dist
-from assaygrid.operators.base import attach_scalars, count_if, div, join_same, ordered_values, p_adjust
+from assaygrid.operators.base import attach_scalars, count_if, div, join_same, numbered, p_adjust
 from assaygrid.session import cut_lineage
 
 
@@ -78,16 +78,103 @@ def top_set_label(sets: DataFrame, enriched: DataFrame, top: int = 8, least: int
     return lab.join(F.broadcast(sizes), "label").select("member", F.when(F.col("_c") >= least, F.col("label")).otherwise("Other").alias("label"))
 
 
+def ranked_list(scores: DataFrame) -> DataFrame:
+    """(member, score, rank, n_all): one score for each member, its largest by magnitude, ranked from the largest down.
+
+    Equal scores are taken in order of member; places come from range partitions.
+    """
+    s = scores.filter("score is not null and not isnan(score)").groupBy("member").agg(F.max_by("score", F.struct(F.abs("score"), "score")).alias("score"))
+    r = cut_lineage(numbered(s.withColumn("_down", -F.col("score")), (), ["_down", "member"], "rank").drop("_down"))
+    return attach_scalars(r, r.agg(F.count(F.lit(1)).alias("n_all")))
+
+
+def running_extreme(hits: str, n_hits: Column, n_all: Column) -> Column:
+    """Struct (es, leading) of the running sum over ``hits``, an array of (rank, w) ordered by rank.
+
+    A hit adds its share of the weights, a miss takes 1 / (n_all - n_hits) away; the largest value stands at a hit, the
+    smallest right before one.  leading: hits up to the largest or from the smallest on, whichever is further from 0.
+    """
+    total = F.aggregate(hits, F.lit(0.0), lambda s, x: s + x["w"])
+    misses = F.greatest(n_all - n_hits, F.lit(1)).cast("double")
+    start = F.struct(F.lit(0).alias("h"), F.lit(0.0).alias("w"), F.lit(float("-inf")).alias("up"), F.lit(0).alias("at_up"), F.lit(float("inf")).alias("down"), F.lit(0).alias("at_down"))
+
+    def step(s, x):
+        share = F.when(total > 0, x["w"] / total).otherwise(1.0 / n_hits)
+        before = s["w"] - (x["rank"] - s["h"] - 1) / misses
+        after = before + share
+        h = s["h"] + 1
+        up, down = after > s["up"], before < s["down"]
+        return F.struct(
+            h.alias("h"), (s["w"] + share).alias("w"), F.when(up, after).otherwise(s["up"]).alias("up"), F.when(up, h).otherwise(s["at_up"]).alias("at_up"),
+            F.when(down, before).otherwise(s["down"]).alias("down"), F.when(down, h).otherwise(s["at_down"]).alias("at_down"),
+        )
+
+    end = lambda s: F.when(
+        F.abs(s["up"]) >= F.abs(s["down"]), F.struct(s["up"].alias("es"), s["at_up"].cast("bigint").alias("leading"))
+    ).otherwise(F.struct(s["down"].alias("es"), (n_hits - s["at_down"] + 1).cast("bigint").alias("leading")))
+    return F.aggregate(hits, start, step, end)
+
+
+def hit_lists(sets: DataFrame, ranked: DataFrame, power: float, least: int, most: int) -> DataFrame:
+    """(set_id, hits, list of (rank, w)) of the sets with ``least`` to ``most`` ranked members; larger ones are never gathered."""
+    found = sets.select("set_id", "member").distinct().join(ranked.select("member", "rank", F.pow(F.abs("score"), F.lit(power)).alias("w")), "member")
+    found = cut_lineage(found)
+    sized = found.groupBy("set_id").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits").between(least, most))
+    t = found.join(sized, "set_id").groupBy("set_id", "hits").agg(F.array_sort(F.collect_list(F.struct("rank", "w", "member"))).alias("list"))
+    return t
+
+
+def null_scores(ranked: DataFrame, sizes: DataFrame, rounds: int, power: float, seed: int = 1) -> DataFrame:
+    """(hits, perm, es): running sums of ``rounds`` random sets of every size in ``sizes`` (hits); sets of one size share them.
+
+    The ranks of a random set are the first distinct ones among hashes of (size, round, draw); where a set would hold
+    more than half of the list, the smallest hashes of all ranks.
+    """
+    n = F.col("n_all")
+    one = ranked.agg(F.max("n_all").alias("n_all"))
+    draws = attach_scalars(sizes.select("hits").distinct(), one).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    dense = F.col("hits") * 2 > n
+    draws = draws.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.when(dense, n).otherwise(F.col("hits") * 3 + 50))))
+    h = F.xxhash64("hits", "perm", "_i", F.lit(seed))
+    draws = draws.select("hits", "perm", F.when(dense, F.col("_i")).otherwise(F.pmod(h, n) + 1).alias("rank"), F.when(dense, h).otherwise(F.col("_i")).alias("_o"))
+    first = draws.groupBy("hits", "perm", "rank").agg(F.min("_o").alias("_o"))
+    # at most three times the largest set tested
+    pick = first.groupBy("hits", "perm").agg(F.array_sort(F.collect_list(F.struct("_o", "rank"))).alias("l")).select("hits", "perm", F.explode(F.slice("l", F.lit(1), F.col("hits").cast("int"))).alias("x"))
+    w = pick.select("hits", "perm", "x.rank").join(ranked.select("rank", F.pow(F.abs("score"), F.lit(power)).alias("w"), "n_all"), "rank")
+    t = w.groupBy("hits", "perm").agg(F.array_sort(F.collect_list(F.struct("rank", "w"))).alias("list"), F.first("n_all").alias("n_all"))
+    return t.select("hits", "perm", running_extreme("list", F.col("hits"), F.col("n_all"))["es"].alias("es"))
+
+
+def gsea(sets: DataFrame, scores: DataFrame, rounds: int = 1000, power: float = 1.0, least: int = 15, most: int = 500, seed: int = 1, lead: bool = True) -> DataFrame:
+    """(set_id, hits, es, leading, leading_members, nes, p, q) of the sets with ``least`` to ``most`` ranked members.
+
+    The null of a size class are the running sums of random sets of that size.  nes is es over the mean of the null of
+    its sign, p the share of that null (plus one) which reaches es, q by BH over the sets tested.
+    """
+    ranked = ranked_list(scores)
+    t = attach_scalars(hit_lists(sets, ranked, power, least, most), ranked.agg(F.max("n_all").alias("n_all")))
+    t = cut_lineage(t.withColumn("x", running_extreme("list", F.col("hits"), F.col("n_all"))).select("set_id", "hits", "x.es", "x.leading", "list"))
+    null = cut_lineage(null_scores(ranked, t.select("hits"), rounds, power, seed))
+    same = F.when(F.col("es") >= 0, F.col("_e") >= 0).otherwise(F.col("_e") < 0)
+    reach = F.when(F.col("es") >= 0, F.col("_e") >= F.col("es")).otherwise(F.col("_e") <= F.col("es"))
+    m = t.select("set_id", "hits", "es").join(null.select("hits", F.col("es").alias("_e")), "hits").groupBy("set_id").agg(
+        count_if(same).alias("_n"), F.avg(F.when(same, F.abs("_e"))).alias("_mean"), count_if(same & reach).alias("_k")
+    )
+    t = join_same(t, m, ["set_id"], "left")
+    mean = F.when(F.col("_mean") > 0, F.col("_mean")).otherwise(1.0)
+    t = t.withColumn("nes", F.col("es") / mean).withColumn("p", F.when(F.col("_n") > 0, (F.col("_k") + 1) / (F.col("_n") + 1)).otherwise(1.0))
+    front = F.when(F.col("es") >= 0, F.slice("list", F.lit(1), F.col("leading").cast("int"))).otherwise(F.slice("list", (F.col("hits") - F.col("leading") + 1).cast("int"), F.col("leading").cast("int")))
+    t = t.withColumn("leading_members", front["member"] if lead else F.lit(None)).drop("list", "_n", "_mean", "_k")
+    return p_adjust(t, "p", (), "bh", "q")
+
+
 def enrichment_score(sets: DataFrame, scores: DataFrame, power: float = 1.0) -> DataFrame:
     """Running-sum score of each set over the members ranked by falling score; only hits are joined to the rank.
 
     Hits add |score|^power over the set's sum, misses take 1 / (N - size) away; the extremes lie at hits.  Equal
     scores are taken in order of member.  Returns set_id, hits, es and the size of the leading edge.
     """
-    s = cut_lineage(scores.groupBy("member").agg(F.max_by("score", F.abs("score")).alias("score")).filter("score is not null"))
-    above = ordered_values(s, (), "score").select("score", "n_le", "n_all")
-    place = F.row_number().over(Window.partitionBy("score").orderBy("member"))
-    ranked = s.withColumn("_i", place).join(above, "score").select("member", "score", (F.col("n_all") - F.col("n_le") + F.col("_i")).alias("rank"), "n_all")
+    ranked = ranked_list(scores)
     hit = sets.select("set_id", "member").distinct().join(ranked, "member").withColumn("_w", F.pow(F.abs("score"), F.lit(power)))
     w = Window.partitionBy("set_id")
     run = w.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)

@@ -444,7 +444,7 @@ def contrast_runner(spark, sf):
 
 @query(None)
 def moderated_t(spark, sf):
-    return rounded(comparisons.moderated_t(V.log_matrix(spark, sf), *two).select("feature", "s2", "s2_post", "df_total", "t_mod"))
+    return rounded(comparisons.moderated_t(V.log_matrix(spark, sf), *two).select("feature", "s2", "s2_post", "df_total", "t_mod", "p_mod", "z_mod"))
 
 
 TWO_WAY = """cl AS (SELECT feature, grp, batch, CAST(count(*) AS DOUBLE) AS n, avg(value) AS m, coalesce(var_samp(value), 0) AS v FROM mlog GROUP BY 1, 2, 3),
@@ -467,13 +467,13 @@ def cramers_v(spark, sf):
     return rounded(comparisons.cramers_v(V.meta_sales(spark, sf), "grp", "region"))
 
 
-LAYERS = """lay AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS sample, l_returnflag AS layer FROM lineitem WHERE l_quantity > 49)"""
+LAYERS = """lay AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS sample, l_returnflag AS layer FROM lineitem)"""
 
 
 @query(sql("", "SELECT sample, n_layers, CASE WHEN n_layers = (SELECT count(DISTINCT layer) FROM lay) THEN 'all' WHEN n_layers > 1 THEN 'some' ELSE 'one' END AS tier FROM (SELECT sample, count(*) AS n_layers FROM lay GROUP BY 1)", LAYERS))
 def design_tiers(spark, sf):
-    li = V.table(spark, sf, "lineitem").filter("l_quantity > 49")
-    return comparisons.design_tiers(li.select(F.col("l_suppkey").cast("string").alias("sample"), F.col("l_returnflag").alias("layer")))
+    li = V.table(spark, sf, "lineitem")
+    return comparisons.design_tiers(li.select(F.col("l_orderkey").cast("string").alias("sample"), F.col("l_returnflag").alias("layer")))
 
 
 @query(sql("design", """SELECT grp, hours, count(*) AS n, max(nt) AS n_times, CASE WHEN hours IS NULL THEN 'missing_time' WHEN count(*) < 5 THEN 'few_replicates' WHEN max(nt) < 5 THEN 'few_times' ELSE '' END AS warning
@@ -799,12 +799,16 @@ def gene_symbols(spark, sf):
 @query("SELECT l_orderkey, l_linenumber, l_linenumber - 1 AS i FROM lineitem")
 def isotopologue_labels(spark, sf):
     li = V.table(spark, sf, "lineitem")
-    return li.select("l_orderkey", "l_linenumber", names.isotopologue(F.concat(F.lit("M+"), F.col("l_linenumber") - 1)).alias("i"))
+    styles = F.array(*[F.lit(x) for x in ("M+", "m", "M_", "ISO", "13C", "Glucose M+", " m + ")])
+    style = F.get(styles, (F.col("l_quantity") % 7).cast("int"))
+    return li.select("l_orderkey", "l_linenumber", names.isotopologue(F.concat(style, F.col("l_linenumber") - 1)).alias("i"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, {R('l_quantity * CASE l_linenumber % 3 WHEN 0 THEN 1.0 / 60 WHEN 1 THEN 1 ELSE 24 END')} AS hours FROM lineitem")
 def time_texts(spark, sf):
-    unit = F.when(F.col("l_linenumber") % 3 == 0, " min").when(F.col("l_linenumber") % 3 == 1, "h").otherwise(" d")
+    words = [F.array(*[F.lit(x) for x in w]) for w in ((" min", "mins", " minutes", "m"), ("h", " hours", " hr", "hour"), (" d", "day", " days", "d"))]
+    style = (F.col("l_orderkey") % 4).cast("int")
+    unit = F.when(F.col("l_linenumber") % 3 == 0, F.get(words[0], style)).when(F.col("l_linenumber") % 3 == 1, F.get(words[1], style)).otherwise(F.get(words[2], style))
     li = V.table(spark, sf, "lineitem")
     return rounded(li.select("l_orderkey", "l_linenumber", names.hours(F.concat(F.col("l_quantity").cast("string"), unit)).alias("hours")))
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assaygrid.functions import names
+from assaygrid.functions import dist, names
 from assaygrid.operators import comparisons, joins, scans
-from assaygrid.operators.base import div, p_adjust
-from assaygrid.functions import dist
+from assaygrid.operators.base import attach_scalars, div, p_adjust
 from assaygrid.plans import views as V
-from assaygrid.plans.registry import PAIRS, QUERIES, SQL, R, _regions, query, rounded, sql
+from assaygrid.plans.registry import PAIRS, QUERIES, SQL, R, _hits, _regions, query, rounded, sql
 from assaygrid.plans.registry_links import EDGES, _edges
 
 __all__ = ["QUERIES", "SQL"]
@@ -55,17 +54,20 @@ def reaction_observability(spark, sf):
 BOTH = EDGES + ", bo AS (SELECT DISTINCT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges)"
 
 
-@query(sql("", """SELECT node, min(d) AS distance FROM (SELECT '1007' AS node, 0 AS d UNION ALL SELECT b, 1 FROM bo WHERE a = '1007' UNION ALL SELECT y.b, 2 FROM bo x JOIN bo y ON x.b = y.a WHERE x.a = '1007') GROUP BY 1""", BOTH))
+@query(sql("", """SELECT node, min(d) AS distance FROM (SELECT 'p7' AS node, 0 AS d UNION ALL SELECT b, 1 FROM bo WHERE a = 'p7' UNION ALL SELECT y.b, 2 FROM bo x JOIN bo y ON x.b = y.a WHERE x.a = 'p7') GROUP BY 1""", BOTH))
 def subgraph_within_two(spark, sf):
     e = _edges(spark, sf)
-    return joins.subgraph(e, e.filter("dst = '1007'").select(F.col("dst").alias("node")), 2)
+    return joins.subgraph(e, e.filter("dst = 'p7'").select(F.col("dst").alias("node")), 2)
 
 
-@query(sql("", "SELECT src, dst FROM edges WHERE CAST(src AS BIGINT) % 2 = 0 AND CAST(dst AS BIGINT) % 3 = 0", EDGES))
+@query(sql("score", """SELECT src, dst FROM edges WHERE src IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal > (SELECT avg(s_acctbal) FROM supplier))
+    AND dst IN (SELECT 'p' || member FROM score WHERE score >= (SELECT quantile_cont(score, 0.9) FROM score))""", EDGES))
 def significant_subnetwork(spark, sf):
-    e = _edges(spark, sf)
-    nodes = e.select(F.col("src").alias("node")).filter("cast(node as bigint) % 2 = 0").union(e.select("dst").filter("cast(dst as bigint) % 3 = 0"))
-    return joins.significant_edges(e, nodes).select("src", "dst")
+    """Links between suppliers of more than the mean balance and parts in the top tenth of revenue."""
+    s = V.table(spark, sf, "supplier")
+    rich = attach_scalars(s, s.agg(F.avg("s_acctbal").alias("m"))).filter("s_acctbal > m").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
+    nodes = rich.union(_hits(spark, sf).select(F.concat(F.lit("p"), "member")))
+    return joins.significant_edges(_edges(spark, sf), nodes).select("src", "dst")
 
 
 @query(sql("design", "SELECT sample, row_number() OVER (ORDER BY CASE WHEN grp = 'B' THEN 0 ELSE 1 END, grp, hours NULLS LAST, CAST(sample AS BIGINT), sample) AS position FROM design"))

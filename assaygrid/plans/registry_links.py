@@ -9,6 +9,7 @@ from assaygrid.functions import names
 from assaygrid.operators import isotopes, models, pairs, scans
 from assaygrid.plans import views as V
 from assaygrid.plans.registry import QUERIES, SQL, R, _hits, query, rounded, sql
+from assaygrid.plans.views import sql_t_p
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -38,11 +39,12 @@ def sample_column_detection(spark, sf):
     return scans.sample_columns(V.table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice", "p_name", "p_brand", "p_type"))
 
 
-@query("""SELECT coalesce(a, b) AS sample, a IS NOT NULL AS in_matrix, b IS NOT NULL AS in_meta FROM (SELECT DISTINCT ' S' || l_suppkey AS a, l_suppkey AS k FROM lineitem WHERE l_suppkey % 3 > 0)
-    FULL JOIN (SELECT 's' || s_suppkey || ' ' AS b, s_suppkey AS k FROM supplier WHERE s_suppkey % 5 > 0) USING (k)""")
+@query("""SELECT coalesce(a, b) AS sample, a IS NOT NULL AS in_matrix, b IS NOT NULL AS in_meta FROM (SELECT DISTINCT ' S' || l_partkey AS a, l_partkey AS k FROM lineitem)
+    FULL JOIN (SELECT 's' || o_custkey || ' ' AS b, o_custkey AS k FROM orders GROUP BY 1, 2) USING (k)""")
 def sample_alignment(spark, sf):
-    a = V.table(spark, sf, "lineitem").filter("l_suppkey % 3 > 0").select(F.concat(F.lit(" S"), "l_suppkey").alias("sample"))
-    b = V.table(spark, sf, "supplier").filter("s_suppkey % 5 > 0").select(F.concat(F.lit("s"), "s_suppkey", F.lit(" ")).alias("sample"))
+    """Numbers of parts sold against numbers of customers that ordered."""
+    a = V.table(spark, sf, "lineitem").select(F.concat(F.lit(" S"), "l_partkey").alias("sample"))
+    b = V.table(spark, sf, "orders").select(F.concat(F.lit("s"), "o_custkey", F.lit(" ")).alias("sample"))
     return scans.align_samples(a, b)
 
 
@@ -101,13 +103,15 @@ def name_mapping(spark, sf):
 
 # -- pairs and networks -----------------------------------------------------------------------------------------------
 
-EDGES = "edges AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS src, CAST(1000 + l_partkey % 61 AS VARCHAR) AS dst FROM lineitem WHERE l_quantity = 50)"
-DIRECT = EDGES + ", direct AS (SELECT DISTINCT least(src, dst) AS f1, greatest(src, dst) AS f2 FROM edges WHERE src <> dst), both_ AS (SELECT f1 AS a, f2 AS b FROM direct UNION ALL SELECT f2, f1 FROM direct)"
+EDGES = "edges AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem)"
+DIRECT = EDGES + ", direct AS (SELECT least(src, dst) AS f1, greatest(src, dst) AS f2 FROM edges), both_ AS (SELECT f1 AS a, f2 AS b FROM direct UNION ALL SELECT f2, f1 FROM direct)"
+HUB = 100  # nodes with more links than this link no two others
 
 
 def _edges(spark, sf):
-    li = V.table(spark, sf, "lineitem").filter("l_quantity = 50")
-    return li.select(F.col("l_suppkey").cast("string").alias("src"), (1000 + F.col("l_partkey") % 61).cast("string").alias("dst")).distinct()
+    """Which supplier sold which part, over all line items."""
+    li = V.table(spark, sf, "lineitem")
+    return li.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
 
 
 @query(sql("", "SELECT f1, f2, 1 AS steps FROM direct", DIRECT))
@@ -115,28 +119,11 @@ def direct_links(spark, sf):
     return pairs.direct_links(_edges(spark, sf))
 
 
-@query(sql("", "SELECT DISTINCT x.b AS f1, y.b AS f2, 2 AS steps FROM both_ x JOIN both_ y ON x.a = y.a AND x.b < y.b WHERE (x.b, y.b) NOT IN (SELECT (f1, f2) FROM direct)", DIRECT))
+@query(sql("", f"""SELECT DISTINCT x.b AS f1, y.b AS f2, 2 AS steps FROM both_ x JOIN both_ y ON x.a = y.a AND x.b < y.b WHERE (x.b, y.b) NOT IN (SELECT (f1, f2) FROM direct)
+    AND x.a IN (SELECT a FROM both_ GROUP BY 1 HAVING count(*) <= {HUB})""", DIRECT))
 def two_step_links(spark, sf):
-    return pairs.two_step_links(_edges(spark, sf))
-
-
-@query(sql("", "SELECT coalesce(i.node, o.node) AS node, coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out FROM (SELECT dst AS node, count(*) AS n_in FROM edges GROUP BY 1) i FULL JOIN (SELECT src AS node, count(*) AS n_out FROM edges GROUP BY 1) o USING (node) WHERE n_in = 1 OR n_out = 1", EDGES))
-def choke_points(spark, sf):
-    return pairs.choke_points(_edges(spark, sf))
-
-
-def _walk(steps: int) -> str:
-    parts = [DIRECT, "wt AS (SELECT a, b, 1.0 / count(*) OVER (PARTITION BY a) AS w FROM both_)",
-             "nd AS (SELECT a AS node, max(CASE WHEN a = '1007' THEN 1.0::DOUBLE ELSE 0 END) AS s FROM both_ GROUP BY 1)", "r0 AS (SELECT node, s AS r FROM nd)"]
-    for i in range(steps):
-        parts.append(f"r{i + 1} AS MATERIALIZED (SELECT nd.node, 0.5 * coalesce(g, 0) + 0.5 * s AS r FROM nd LEFT JOIN (SELECT b AS node, sum(w * r) AS g FROM wt JOIN r{i} ON a = r{i}.node GROUP BY 1) USING (node))")
-    return sql("", f"SELECT node, {R('r', 9)} AS r FROM r{steps}", ", ".join(parts))
-
-
-@query(_walk(10))
-def network_propagation(spark, sf):
-    start = spark.createDataFrame([("1007", 1.0)], "node string, value double")
-    return rounded(pairs.propagate(_edges(spark, sf), start), 9)
+    """Nodes that share a neighbour; hubs above ``HUB`` links are left out by the operator's argument."""
+    return pairs.two_step_links(_edges(spark, sf), most_degree=HUB)
 
 
 VECP = """vp AS (SELECT x.feature AS f1, y.feature AS f2, x.grp, x.value AS x, y.value AS y FROM vec x JOIN vec y ON x.sample = y.sample AND CAST(substr(y.feature, 2) AS INT) - CAST(substr(x.feature, 2) AS INT) IN (1, 2)),
@@ -188,10 +175,18 @@ def set_activity(spark, sf):
     return rounded(pairs.set_activity(V.part_sets(spark, sf), _layers(spark, sf)))
 
 
-@query(sql("sets", f"SELECT regulator, count(*) AS n, {R('sum(sg * z) / sqrt(count(*))')} AS activity FROM (SELECT set_id AS regulator, member, CASE WHEN CAST(member AS BIGINT) % 3 = 0 THEN -1 ELSE 1 END AS sg FROM sets) JOIN (SELECT member, z FROM ly WHERE layer = 'R') USING (member) GROUP BY 1 HAVING count(*) >= 3", LAY))
+REG = LAY + """, zr AS (SELECT member, z FROM ly WHERE layer = 'R'), al AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(z) AS y, sum(z * z) AS yy FROM zr),
+    rg AS (SELECT set_id AS regulator, count(*) AS k, sum(sg) AS x, CAST(count(*) AS DOUBLE) AS xx, sum(sg * z) AS xy FROM (SELECT set_id, member, CASE WHEN CAST(member AS BIGINT) % 3 = 0 THEN -1.0::DOUBLE ELSE 1 END AS sg FROM sets) JOIN zr USING (member) GROUP BY 1 HAVING count(*) >= 5),
+    rs AS (SELECT regulator, k, n, xx - x * x / n AS sxx, xy - x * y / n AS sxy, yy - y * y / n AS syy FROM rg, al),
+    rt AS (SELECT regulator, k AS n, sxy / sxx AS slope, sxy / sxx / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) AS t, n - 2 AS df FROM rs),
+    """
+
+
+@query(sql("sets", f"SELECT regulator, n, {R('slope')} AS slope, {R('t', 5)} AS t, {R('p', 5)} AS p FROM rp", REG + f"rp AS (SELECT *, {sql_t_p('t', 'df')} AS p FROM rt)"))
 def regulator_activity(spark, sf):
     t = V.part_sets(spark, sf).select(F.col("set_id").alias("regulator"), "member", F.when(F.col("member").cast("bigint") % 3 == 0, -1).otherwise(1).alias("sign"))
-    return rounded(pairs.regulator_activity(t, _layers(spark, sf).filter("layer = 'R'")))
+    t = pairs.regulator_activity(t, _layers(spark, sf).filter("layer = 'R'"))
+    return t.select("regulator", "n", *[(F.round(c, d) + 0.0).alias(c) for c, d in (("slope", 6), ("t", 5), ("p", 5))])
 
 
 @query(sql("sets", f"SELECT node, k, {R('(a - (SELECT avg(z) FROM ly)) / (SELECT stddev_samp(z) FROM ly) * sqrt(k)')} AS reporter_z FROM (SELECT set_id AS node, count(*) AS k, avg(z) AS a FROM sets JOIN ly USING (member) GROUP BY 1)", LAY))
@@ -258,12 +253,6 @@ def default_pipeline(spark, sf):
     return rounded(models.default_pipeline(V.matrix_sales(spark, sf), V.meta_sales(spark, sf)).select("feature", "sample", "value"))
 
 
-@query(f"""SELECT p_partkey, {R('0.6 * p_size / (SELECT max(abs(p_size)) FROM part) + 0.4 * p_retailprice / (SELECT max(abs(p_retailprice)) FROM part)')} AS score FROM part""")
-def target_ranking(spark, sf):
-    part = V.table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
-    return rounded(models.target_ranking(part, {"p_size": 0.6, "p_retailprice": 0.4}).select("p_partkey", "score"))
-
-
 @query(sql("mid design", f"""SELECT compound, i, {R('max(pct)')} AS peak FROM (SELECT compound, i, hours, avg(f) * 100 AS pct FROM (SELECT compound, i, sample, area / sum(area) OVER (PARTITION BY compound, sample) AS f FROM mid)
     JOIN design USING (sample) WHERE sample_type = 'labelled' AND include GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING max(pct) >= 15"""))
 def channel_race(spark, sf):

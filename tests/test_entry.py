@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from assaygrid.plans.registry_joins import QUERIES, SQL
+from assaygrid.plans.registry_network import QUERIES, SQL
 
 ROOT = Path(__file__).resolve().parents[1]
 DATA = "/root/testdata/sf0.001"

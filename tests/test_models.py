@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assaygrid.operators import joins, models, pairs, scans, sinks
+from assaygrid.functions import dist
+from assaygrid.operators import comparisons, joins, layers, models, pairs, scans, sinks
 
 
 @pytest.fixture(scope="module")
@@ -132,3 +133,96 @@ def test_designs_of_any_size_stay_off_the_driver(spark):
     for g in ("g0", "g1"):
         at = [r.v for r in means if r.grp == g]
         assert max(at) - min(at) < 1e-2
+
+
+def test_moderated_t_equals_brute_force(spark):
+    """Against the moments of the log variances, written out."""
+    rng = np.random.default_rng(4)
+    sd = np.sqrt(4 * 0.5 / rng.chisquare(4, 60))
+    x = rng.normal(0, 1, (60, 10)) * sd[:, None]
+    x[0, :5] += 4 * sd[0]
+    rows = [(f"f{i:02d}", f"s{j}", "A" if j < 5 else "B", float(x[i, j])) for i in range(60) for j in range(10)]
+    got = {r.feature: r for r in comparisons.moderated_t(spark.createDataFrame(rows, "feature string, sample string, grp string, value double"), "A", "B").collect()}
+    s2 = (x[:, :5].var(axis=1, ddof=1) + x[:, 5:].var(axis=1, ddof=1)) / 2
+    e = np.log(s2) - dist.digamma(4.0) + np.log(4.0)
+    over = e.var(ddof=1) - dist.polygamma_series(4.0, 1)
+    assert over > 0
+    d0 = 2 * dist.trigamma_inverse(over)
+    s02 = np.exp(e.mean() + dist.digamma(d0 / 2) - np.log(d0 / 2))
+    post = (d0 * s02 + 8 * s2) / (d0 + 8)
+    t = (x[:, :5].mean(axis=1) - x[:, 5:].mean(axis=1)) / np.sqrt(post * 0.4)
+    for i in range(60):
+        r = got[f"f{i:02d}"]
+        assert r.s2_post == pytest.approx(post[i]) and r.t_mod == pytest.approx(t[i]) and r.df_total == pytest.approx(8 + d0)
+        assert r.p_mod == pytest.approx(float(dist.t_two_sided(np.array([t[i]]), np.array([8 + d0]))[0]))
+        assert np.sign(r.z_mod) == np.sign(t[i]) and 2 * float(dist.norm_tail(np.array([abs(r.z_mod)]))[0]) == pytest.approx(r.p_mod, rel=1e-6)
+    assert min(got.values(), key=lambda r: r.p_mod).feature == "f00"
+
+
+def test_studentised_range_of_groups(spark):
+    """Published upper points of the studentised range, and both post hoc tests through them."""
+    for q, k, df, p in ((3.877, 3, 10, 0.05), (3.958, 4, 20, 0.05), (4.82, 5, 60, 0.01), (3.63, 3, 1e6, 0.0278)):
+        assert float(dist.range_tail(np.array([q]), np.array([float(k)]), np.array([float(df)]))[0]) == pytest.approx(p, rel=0.02)
+    rng = np.random.default_rng(5)
+    rows = [("f", f"s{j}", "abc"[j % 3], float(rng.normal(2.0 * (j % 3 == 2), 1))) for j in range(30)]
+    df = spark.createDataFrame(rows, "feature string, sample string, grp string, value double")
+    for f in (comparisons.tukey_kramer, comparisons.games_howell):
+        got = {(r.grp_a, r.grp_b): r for r in f(df).collect()}
+        assert got["a", "b"].p > 0.05 > max(got["a", "c"].p, got["b", "c"].p)
+        r = got["a", "c"]
+        assert r.p == pytest.approx(float(dist.range_tail(np.array([r.q_stat]), np.array([3.0]), np.array([float(getattr(r, "df2", None) or r.df)]))[0]), rel=1e-6)
+
+
+def test_pairwise_contrasts_equal_the_two_group_test(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"f{i}", f"s{j}", "abc"[j % 3], float(rng.normal(j % 3, 1 + i))) for i in range(4) for j in range(18)]
+    df = spark.createDataFrame(rows, "feature string, sample string, grp string, value double")
+    every = {(r.feature, r.grp_a, r.grp_b): r for r in comparisons.pairwise_welch(df).collect()}
+    assert len(every) == 12
+    for a, b in (("a", "b"), ("a", "c"), ("b", "c")):
+        for r in comparisons.welch(df.filter(F.col("grp").isin(a, b)), a, b).collect():
+            mine = every[r.feature, a, b]
+            assert mine.t == pytest.approx(r.t) and mine.df == pytest.approx(r.df)
+
+
+def test_layers(spark):
+    f = spark.createDataFrame([("k1", "a", 1.0), ("k1", "b", 2.0), ("k1", "c", 2.0), ("k2", "d", None), ("", "e", 1.0), (None, "f", 1.0)], "key string, feature string, mean double")
+    assert {(r.key, r.feature) for r in layers.representative(f).collect()} == {("k1", "b"), ("k2", "d")}
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 2, 80)
+    y = 0.6 * x + rng.normal(0, 0.5, 80)
+    y[0] = -6.0
+    q = lambda v: np.where(np.abs(v) > 2, 0.01, 0.5)
+    frame = lambda v: spark.createDataFrame([(f"k{i}", float(v[i]), float(q(v)[i])) for i in range(80)] + [("nan", None, 0.1)], "key string, z double, q double")
+    got = {r.key: r for r in layers.concordance(frame(x), frame(y)).collect() if r.z_first is not None}
+    sxx, syy, sxy = x.var(ddof=1), y.var(ddof=1), np.cov(x, y)[0, 1]
+    beta = (syy - sxx + np.sqrt((syy - sxx) ** 2 + 4 * sxy**2)) / (2 * sxy)
+    for i in range(80):
+        r = got[f"k{i}"]
+        assert r.beta == pytest.approx(beta) and r.coupling == pytest.approx(np.corrcoef(x, y)[0, 1])
+        assert r.discordance == pytest.approx((y[i] - beta * x[i]) / np.sqrt(1 + beta**2))
+        a, b = abs(x[i]) > 2, abs(y[i]) > 2
+        assert r["class"] == ("Coupled" if a and b and x[i] * y[i] > 0 else "Opposing" if a and b else "Protein-only (post-transcriptional)" if b else "mRNA-only (buffered)" if a else "Unchanged")
+    assert min(got.values(), key=lambda r: r.p).key == "k0"
+    cells = lambda s: spark.createDataFrame([(k, f"s{j}", "AB"[j % 2], float(rng.normal() if k == "n" else j // 2 * s + 5 * (j % 2))) for k in ("n", "c") for j in range(16)], "key string, sample string, grp string, value double")
+    w = {r.key: r for r in layers.within_sample_coupling(cells(1.0), cells(-2.0)).collect()}
+    assert w["c"].rho == pytest.approx(-1.0) and abs(w["n"].rho) < 0.8 and w["c"].n == 16
+
+
+def test_regulators_equal_least_squares(spark):
+    rng = np.random.default_rng(8)
+    z = rng.normal(0, 1, 120)
+    z[:10] += 2
+    t = [("up", f"g{i}", 1) for i in range(10)] + [("mix", f"g{i}", (-1) ** i) for i in range(40, 70)] + [("few", f"g{i}", 1) for i in range(3)] + [("up", "absent", 1)]
+    s = spark.createDataFrame([(f"g{i}", float(z[i])) for i in range(120)] + [("x", None)], "member string, z double")
+    got = {r.regulator: r for r in pairs.regulator_activity(spark.createDataFrame(t, "regulator string, member string, sign int"), s).collect()}
+    assert got.keys() == {"up", "mix"}
+    for name, r in got.items():
+        w = np.zeros(120)
+        for g, m, sign in t:
+            if g == name and m != "absent":
+                w[int(m[1:])] = sign
+        X = np.column_stack([np.ones(120), w])
+        beta = np.linalg.lstsq(X, z, rcond=None)[0]
+        se = np.sqrt(((z - X @ beta) ** 2).sum() / 118 * np.linalg.inv(X.T @ X)[1, 1])
+        assert r.slope == pytest.approx(beta[1]) and r.t == pytest.approx(beta[1] / se)
