@@ -236,9 +236,9 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int, terms: int, chi: floa
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, examples: int = 3000, terms: int = 2000, chi: float = 30.0, lift: float = 4.0, near: int = 15
+    docs: DataFrame, labels: DataFrame, examples: int = 3000, terms: int = 2000, chi: float = 30.0, lift: float = 4.0, near: int = 15, row: bool = False
 ) -> DataFrame:
-    """(doc_id, held_out, score, predicted, evidence, words) for every row of ``docs``.
+    """(doc_id, held_out, score, predicted, evidence, words) for every row of ``docs``; with ``row`` its columns as struct ``row``.
 
     evidence: doc_id, cosine and label of the nearest examples; words: the terms they share with the text's vector.
     """
@@ -269,15 +269,16 @@ def score_toxicity(
                     shown.append([ix.names[i] for i in t])
                 score = np.clip(np.array(scores, float), 0, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(near_to, evidence), pa.array(shown, pa.list_(pa.string()))],
-                    ["doc_id", "score", "predicted", "evidence", "words"],
+                    [part.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(near_to, evidence), pa.array(shown, pa.list_(pa.string())), *[part.column(c) for c in beside]],
+                    ["doc_id", "score", "predicted", "evidence", "words", *beside],
                 )
 
-    out = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        run, "doc_id bigint, score double, predicted int, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>, words array<string>"
-    )
+    beside = ["row"] if row else []
+    read = docs.select(F.col("doc_id").cast("bigint"), "text", *([F.struct(*docs.columns).alias("row")] if row else []))
+    kinds = "doc_id bigint, score double, predicted int, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>, words array<string>"
+    out = read.mapInArrow(run, kinds + (f", row {read.schema['row'].dataType.simpleString()}" if row else ""))
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
-    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted", "evidence", "words")
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted", "evidence", "words", *beside)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ min(1, s * raked weight / tokens of the cell), where s makes the expected number
 
 Targets default to a power of the token totals (a temperature per dimension); explicit shares may be given.  The
 tables have no topic column, so the default topic is a rule on the text's form; any Column may take its place.
-The draw compares the probability with a hash of the seed and the doc_id, so it can be repeated; rows repeated under
-one doc_id are kept or left together.  Null source, language or topic is the value ``(none)``; null and blank texts
+The draw compares the probability with a hash of the seed and the doc_id, so it can be repeated; rows of one doc_id
+share the draw, and each keeps or leaves by its own cell.  Null source, language or topic is the value ``(none)``; null and blank texts
 have no tokens and their cell's probability, which is 0 in a cell without tokens.  Only the named columns are read.
 """
 
@@ -73,26 +73,35 @@ def sampling_scale(cells: DataFrame, rate: float) -> float:
         s = (goal - got[0]) / got[1]
 
 
-def mix(docs: DataFrame, rate: float = 0.5, rounds: int = 16, temper=None, shares=None, topic: Column | None = None, seed: str = "mix") -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, prob, sampled) for every row of ``docs``."""
-    rows = docs.select("doc_id", *[F.coalesce(F.col(c), F.lit("(none)")).alias(c) for c in ("source", "lang")], "text")
-    rows = rows.withColumn("n_tokens", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"))
-    rows = rows.withColumn("topic", F.coalesce(form_topic() if topic is None else topic, F.lit("(none)"))).drop("text")
-    cells = cut_lineage(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
+def drawn(docs: DataFrame, rate: float, rounds: int, temper, shares, topic: Column | None, seed: str) -> DataFrame:
+    """``docs`` with one more column, the struct ``_mix`` of (source, lang, topic, n_tokens, prob, sampled): the draw stays in its row."""
+    n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), *docs.columns).withColumn("n_tokens", n)  # the documents' own n_tokens stays in _doc
+    given = [F.coalesce(F.col(c), F.lit("(none)")).alias(c) for c in ("source", "lang")]
+    topics = F.coalesce(form_topic() if topic is None else topic, F.lit("(none)"))
+    rows = rows.select("_doc", "doc_id", F.struct(*given, topics.alias("topic"), "n_tokens").alias("_cell"))
+    cells = cut_lineage(rows.select("_cell.*").groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
     raked = cut_lineage(rake(cells, rounds, TEMPER if temper is None else temper, shares))
     s = sampling_scale(raked, rate)
-    prob = raked.select(*DIMS, F.least(F.lit(1.0), F.col("w") * s / F.col("tokens")).alias("prob"))
+    prob = raked.select(F.struct(*DIMS).alias("_key"), F.least(F.lit(1.0), F.col("w") * s / F.col("tokens")).alias("_prob"))
     if raked.count() <= FEW_CELLS:  # a checked size; a larger cell table is joined by its keys
         prob = F.broadcast(prob)
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / 2.0**32
-    out = rows.join(prob, list(DIMS), "left").withColumn("prob", F.coalesce("prob", F.lit(0.0)))
-    return out.select("doc_id", *DIMS, "n_tokens", F.round("prob", 6).alias("prob"), (draw < F.col("prob")).alias("sampled"))
+    out = rows.withColumn("_key", F.struct(*[F.col(f"_cell.{d}").alias(d) for d in DIMS])).join(prob, "_key", "left").withColumn("_prob", F.coalesce("_prob", F.lit(0.0)))
+    mixed = F.struct("_cell.*", F.round("_prob", 6).alias("prob"), (draw < F.col("_prob")).alias("sampled"))
+    return out.select("_doc.*", mixed.alias("_mix"))
+
+
+def mix(docs: DataFrame, rate: float = 0.5, rounds: int = 16, temper=None, shares=None, topic: Column | None = None, seed: str = "mix") -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens, prob, sampled) for every row of ``docs``."""
+    return drawn(docs.select("doc_id", "source", "lang", "text"), rate, rounds, temper, shares, topic, seed).select("doc_id", "_mix.*")
 
 
-def sampled_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that the draw keeps, with their topic and probability."""
-    kept = mix(docs, **how).filter("sampled").select(F.col("doc_id").alias("_mix_id"), F.col("topic").alias("mix_topic"), F.col("prob").alias("mix_prob")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_mix_id"])).drop("_mix_id")
+def sampled_documents(docs: DataFrame, rate: float = 0.5, rounds: int = 16, temper=None, shares=None, topic: Column | None = None, seed: str = "mix") -> DataFrame:
+    """The rows of ``docs`` that their draw keeps, with mix_topic and mix_prob (in place of columns of these names)."""
+    kept = drawn(docs, rate, rounds, temper, shares, topic, seed).filter("_mix.sampled")
+    columns = [c for c in docs.columns if c not in ("mix_topic", "mix_prob")]
+    return kept.select(*columns, F.col("_mix.topic").alias("mix_topic"), F.col("_mix.prob").alias("mix_prob"))
 
 
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
