@@ -96,16 +96,16 @@ def running_extreme(hits: str, n_hits: Column, n_all: Column) -> Column:
     """
     total = F.aggregate(hits, F.lit(0.0), lambda s, x: s + x["w"])
     misses = F.greatest(n_all - n_hits, F.lit(1)).cast("double")
-    start = F.struct(F.lit(0).alias("h"), F.lit(0.0).alias("w"), F.lit(float("-inf")).alias("up"), F.lit(0).alias("at_up"), F.lit(float("inf")).alias("down"), F.lit(0).alias("at_down"))
+    start = F.struct(total.alias("total"), F.lit(0).alias("h"), F.lit(0.0).alias("w"), F.lit(float("-inf")).alias("up"), F.lit(0).alias("at_up"), F.lit(float("inf")).alias("down"), F.lit(0).alias("at_down"))
 
     def step(s, x):
-        share = F.when(total > 0, x["w"] / total).otherwise(1.0 / n_hits)
+        share = F.when(s["total"] > 0, x["w"] / s["total"]).otherwise(1.0 / n_hits)
         before = s["w"] - (x["rank"] - s["h"] - 1) / misses
         after = before + share
         h = s["h"] + 1
         up, down = after > s["up"], before < s["down"]
         return F.struct(
-            h.alias("h"), (s["w"] + share).alias("w"), F.when(up, after).otherwise(s["up"]).alias("up"), F.when(up, h).otherwise(s["at_up"]).alias("at_up"),
+            s["total"].alias("total"), h.alias("h"), (s["w"] + share).alias("w"), F.when(up, after).otherwise(s["up"]).alias("up"), F.when(up, h).otherwise(s["at_up"]).alias("at_up"),
             F.when(down, before).otherwise(s["down"]).alias("down"), F.when(down, h).otherwise(s["at_down"]).alias("at_down"),
         )
 
@@ -134,11 +134,13 @@ def null_scores(ranked: DataFrame, sizes: DataFrame, rounds: int, power: float,
     one = ranked.agg(F.max("n_all").alias("n_all"))
     draws = attach_scalars(sizes.select("hits").distinct(), one).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
     dense = F.col("hits") * 2 > n
-    draws = draws.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.when(dense, n).otherwise(F.col("hits") * 3 + 50))))
+    # draws with replacement until ``hits`` are distinct: their expected number and eight standard deviations more
+    enough = F.ceil(-1.05 * n * F.log1p(-F.col("hits") / n) + 8 * F.sqrt("hits") + 20)
+    draws = draws.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.when(dense, n).otherwise(enough))))
     h = F.xxhash64("hits", "perm", "_i", F.lit(seed))
     draws = draws.select("hits", "perm", F.when(dense, F.col("_i")).otherwise(F.pmod(h, n) + 1).alias("rank"), F.when(dense, h).otherwise(F.col("_i")).alias("_o"))
     first = draws.groupBy("hits", "perm", "rank").agg(F.min("_o").alias("_o"))
-    # at most three times the largest set tested
+    # less than twice the largest set tested
     pick = first.groupBy("hits", "perm").agg(F.array_sort(F.collect_list(F.struct("_o", "rank"))).alias("l")).select("hits", "perm", F.explode(F.slice("l", F.lit(1), F.col("hits").cast("int"))).alias("x"))
     w = pick.select("hits", "perm", "x.rank").join(ranked.select("rank", F.pow(F.abs("score"), F.lit(power)).alias("w"), "n_all"), "rank")
     t = w.groupBy("hits", "perm").agg(F.array_sort(F.collect_list(F.struct("rank", "w"))).alias("list"), F.first("n_all").alias("n_all"))

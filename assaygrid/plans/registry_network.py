@@ -194,9 +194,9 @@ BOUND = "bd AS (SELECT CAST(p_partkey AS VARCHAR) AS node FROM part WHERE p_name
 ROUTES = (
     PAIRS + ", " + BOUND + """st AS (SELECT DISTINCT substrate AS a, product AS b, CAST(rxn AS VARCHAR) AS rxn, reversible AS f FROM rp UNION SELECT product, substrate, CAST(rxn AS VARCHAR), reversible FROM rp WHERE reversible),
     ib AS (SELECT st.*, a IN (SELECT node FROM bd) AS ab, b IN (SELECT node FROM bd) AS bb FROM st),
-    r1 AS (SELECT a AS src, b AS at, min({'c': rxn, 'f': f}) AS x FROM ib WHERE bb AND NOT ab GROUP BY 1, 2),
-    n1 AS (SELECT src, b AS dst, bb, min({'c': x.c || '+' || rxn, 'f': x.f AND f}) AS x FROM r1 JOIN ib ON at = a WHERE b <> src GROUP BY 1, 2, 3),
-    n2 AS (SELECT src, b AS dst, ib.bb, min({'c': x.c || '+' || rxn, 'f': x.f AND f}) AS x FROM (SELECT * FROM n1 WHERE n1.bb AND (src, dst) NOT IN (SELECT (src, at) FROM r1)) n JOIN ib ON dst = a WHERE b <> src GROUP BY 1, 2, 3),
+    r1 AS (SELECT a AS src, b AS here, min({'c': rxn, 'f': f}) AS x FROM ib WHERE bb AND NOT ab GROUP BY 1, 2),
+    n1 AS (SELECT src, b AS dst, bb, min({'c': x.c || '+' || rxn, 'f': x.f AND f}) AS x FROM r1 JOIN ib ON here = a WHERE b <> src GROUP BY 1, 2, 3),
+    n2 AS (SELECT src, b AS dst, ib.bb, min({'c': x.c || '+' || rxn, 'f': x.f AND f}) AS x FROM (SELECT * FROM n1 WHERE n1.bb AND (src, dst) NOT IN (SELECT (src, here) FROM r1)) n JOIN ib ON dst = a WHERE b <> src GROUP BY 1, 2, 3),
     nw AS (SELECT src, dst, min({'t': t, 'c': x.c, 'f': x.f}) AS y FROM (SELECT src, dst, 1 AS t, x FROM n1 WHERE NOT bb UNION ALL SELECT src, dst, 2, x FROM n2 WHERE NOT bb) GROUP BY 1, 2),
     ct AS (SELECT a AS substrate, b AS product, rxn, f AS reversible, 0 AS through FROM (SELECT DISTINCT substrate AS a, product AS b, CAST(rxn AS VARCHAR) AS rxn, reversible AS f FROM rp) WHERE a NOT IN (SELECT node FROM bd) AND b NOT IN (SELECT node FROM bd)
         UNION ALL SELECT src, dst, y.c, y.f, y.t FROM nw)"""
@@ -310,7 +310,7 @@ def module_scores(spark, sf):
     """Neighbouring dimensions as pairs, eights of dimensions as sets; 100 bootstrap rounds."""
     d = pairs.differential_correlation(_vectors(spark, sf), _near(spark, sf), "A", "B")
     eight = lambda c: F.concat(F.lit("set"), F.expr(f"cast(substring({c}, 2) as int) div 8"))
-    p = d.select("f1", "f2", eight("f1").alias("set_a"), eight("f2").alias("set_b"), "class", "delta")
+    p = d.select("f1", "f2", eight("f1").alias("set_a"), eight("f2").alias("set_b"), "class", (-F.col("delta")).alias("delta"))  # group b less group a
     t = modules.score_modules(_vectors(spark, sf), p, "A", "B", rounds=100, robust=0.02)
     return rounded(t)
 
