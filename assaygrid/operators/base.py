@@ -110,6 +110,23 @@ def numbered(df: DataFrame, keys, order, out: str = "place") -> DataFrame:
     return join_same(d, ranges, [*keys, "_b"]).withColumn(out, F.col("_at") + F.col("_shift")).drop("_at", "_b", "_shift")
 
 
+def running(df: DataFrame, keys, order, value: str, out: str, place: str = "place") -> DataFrame:
+    """``df`` with the number of each row inside its key (``place``) and the sum of ``value`` over its rows up to this one (``out``).
+
+    As ``numbered``: a range sums what it holds of a key, and the sums of the ranges before are carried over.
+    """
+    keys = list(keys)
+    d = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    d = cut_lineage(d.withColumn("_at", F.monotonically_increasing_id())).withColumn("_b", F.shiftright("_at", 33))
+    ranges = d.groupBy(*keys, "_b").agg(F.min("_at").alias("_lo"), F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_t"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried_ = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    ranges = ranges.select(*keys, "_b", (carried_("_n") - F.col("_lo") + 1).alias("_shift"), carried_("_t").alias("_before"))
+    inner = Window.partitionBy(*keys, "_b").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    t = join_same(d.withColumn("_run", F.sum(value).over(inner)), ranges, [*keys, "_b"])
+    return t.withColumn(place, F.col("_at") + F.col("_shift")).withColumn(out, F.col("_run") + F.col("_before")).drop("_at", "_b", "_shift", "_run", "_before")
+
+
 def top_k(df: DataFrame, keys, order, k: int, out: str = "place") -> DataFrame:
     """The first k rows of each key; ranked per partition of the input first, so a large key is cut before it is gathered."""
     part = df.withColumn("_p", F.spark_partition_id())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from assaygrid.operators.base import attach_scalars, count_if, div, join_same, number, quantiles
 
+SAMPLES_A_BUCKET = 1000
 BANDS = ((20, "good"), (50, "fair"), (70, "poor"))
 
 
@@ -84,10 +85,12 @@ def drop_constant(matrix: DataFrame, meta: DataFrame | None = None, tiny: float
 
 
 def absent_cells(matrix: DataFrame, samples: DataFrame) -> DataFrame:
-    """(feature, sample) without a row: the samples of each feature less those it has, written from an array per feature."""
-    have = matrix.groupBy("feature").agg(F.collect_set("sample").alias("have"))  # at most all samples, bounded by the design
-    everyone = samples.agg(F.collect_set("sample").alias("all"))
-    gaps = attach_scalars(have, everyone).select("feature", F.explode(F.array_except("all", "have")).alias("sample"))
+    """(feature, sample) without a row: every feature meets the samples bucket by bucket, less the cells there are."""
+    s = samples.select("sample").distinct()
+    buckets = max(1, -(-s.count() // SAMPLES_A_BUCKET))
+    s = s.withColumn("_b", F.pmod(F.xxhash64("sample"), F.lit(buckets)).cast("int"))
+    f = matrix.select("feature").distinct().withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    gaps = f.join(s, "_b").select("feature", "sample").join(matrix.select("feature", "sample"), ["feature", "sample"], "left_anti")
     return gaps.withColumn("value", F.lit(None).cast("double"))
 
 
@@ -97,14 +100,14 @@ def impute(matrix: DataFrame, samples: DataFrame, how: str = "half_min", fractio
     fills = {
         "half_min": lambda: F.min("value") * fraction,
         "mean": lambda: F.avg("value"),
-        "median": lambda: F.percentile("value", F.lit(0.5)),  # at most one value a sample
         "log_min": lambda: F.min("value") - 1,
     }
     dense = matrix.select("feature", "sample", F.col("value").cast("double").alias("value")).unionByName(absent_cells(matrix, samples))
     if how == "global_min":
         full = attach_scalars(dense, matrix.agg((F.min("value") * fraction).alias("_fill")))
     else:
-        full = dense.join(matrix.groupBy("feature").agg(fills[how]().alias("_fill")), "feature")
+        fill = quantiles(matrix, ["feature"], "value", [0.5], ["_fill"]) if how == "median" else matrix.groupBy("feature").agg(fills[how]().alias("_fill"))
+        full = dense.join(fill, "feature", "left")
     return full.select("feature", "sample", F.coalesce("value", "_fill").alias("value"), F.col("value").isNull().alias("imputed"))
 
 

@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaygrid.functions import dist
-from assaygrid.operators.base import attach_scalars, count_if, div, join_same, mid_ranks, number, p_adjust
+from assaygrid.operators.base import attach_scalars, count_if, div, join_same, mid_ranks, number, p_adjust, quantiles
 from assaygrid.session import cut_lineage
 
 
+EXACT_PRODUCT = 20_000  # the exact counts of U are as many numbers
+
+
 def with_groups(matrix: DataFrame, meta: DataFrame, column: str = "grp", *more: str) -> DataFrame:
     return matrix.join(meta.select("sample", F.col(column).alias("grp"), *more), "sample").filter("grp is not null")
 
@@ -99,7 +102,7 @@ def anova(rows: DataFrame, keys=("feature",)) -> DataFrame:
 
 def brown_forsythe(rows: DataFrame, keys=("feature",)) -> DataFrame:
     """``anova`` of the absolute distances from the group medians."""
-    med = rows.groupBy(*keys, "grp").agg(F.percentile("value", F.lit(0.5)).alias("_m"))  # samples of a group, bounded by the design
+    med = quantiles(rows, [*keys, "grp"], "value", [0.5], ["_m"])
     return anova(join_same(rows, med, [*keys, "grp"]).withColumn("value", F.abs(F.col("value") - F.col("_m"))), keys)
 
 
@@ -117,8 +120,8 @@ def welch_anova(rows: DataFrame, keys=("feature",)) -> DataFrame:
 
 
 def kruskal(rows: DataFrame, keys=("feature",)) -> DataFrame:
-    """Kruskal-Wallis H with correction for ties; a feature's samples are bounded by the design."""
-    r = mid_ranks(rows.filter("value is not null"), keys, "value", "_r", bounded=True)
+    """Kruskal-Wallis H with correction for ties."""
+    r = mid_ranks(rows.filter("value is not null"), keys, "value", "_r")
     ties = r.groupBy(*keys, "value").agg(F.count(F.lit(1)).cast("double").alias("_t")).groupBy(*keys).agg(F.sum(F.pow("_t", F.lit(3)) - F.col("_t")).alias("_ties"))
     g = r.groupBy(*keys, "grp").agg(F.count(F.lit(1)).alias("_n"), F.sum("_r").alias("_s"))
     t = g.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.sum("_n").cast("double").alias("n"), F.sum(F.col("_s") * F.col("_s") / F.col("_n")).alias("_q"))
@@ -128,9 +131,9 @@ def kruskal(rows: DataFrame, keys=("feature",)) -> DataFrame:
 
 
 def mann_whitney(rows: DataFrame, a: str, b: str, keys=("feature",), exact_up_to: int = 8) -> DataFrame:
-    """U of group a and two-sided p: exact without ties when the smaller group has at most ``exact_up_to`` values, else the
-    normal tail with corrections for ties and continuity."""
-    r = mid_ranks(rows.filter("value is not null").filter(F.col("grp").isin(a, b)), keys, "value", "_r", bounded=True)
+    """U of group a and two-sided p: exact without ties when the smaller group has at most ``exact_up_to`` values and the groups'
+    product is at most ``EXACT_PRODUCT``, else the normal tail with corrections for ties and continuity."""
+    r = mid_ranks(rows.filter("value is not null").filter(F.col("grp").isin(a, b)), keys, "value", "_r")
     ties = r.groupBy(*keys, "value").agg(F.count(F.lit(1)).cast("double").alias("_t")).groupBy(*keys).agg(F.sum(F.pow("_t", F.lit(3)) - F.col("_t")).alias("_ties"))
     t = r.groupBy(*keys).agg(
         count_if(F.col("grp") == a).alias("n_a"), count_if(F.col("grp") == b).alias("n_b"), F.sum(F.when(F.col("grp") == a, F.col("_r"))).alias("_s")
@@ -140,7 +143,7 @@ def mann_whitney(rows: DataFrame, a: str, b: str, keys=("feature",), exact_up_to
     t = join_same(t, ties, keys).withColumn("u", F.col("_s") - na * (na + 1) / 2)
     sd = F.sqrt(na * nb / 12.0 * (n + 1 - div("_ties", n * (n - 1))))
     z = div(F.greatest(F.abs(F.col("u") - na * nb / 2) - 0.5, F.lit(0.0)), sd)
-    exact = (F.col("_ties") == 0) & (F.least("n_a", "n_b") <= exact_up_to)
+    exact = (F.col("_ties") == 0) & (F.least("n_a", "n_b") <= exact_up_to) & (na * nb <= EXACT_PRODUCT)
     some = (na > 0) & (nb > 0)
     t = t.withColumn("z", F.when(some, z)).withColumn("exact", exact)
     p = F.when(exact, dist.mwu_exact_sf(F.when(exact & some, F.col("u")), "n_a", "n_b")).otherwise(dist.norm_sf("z"))

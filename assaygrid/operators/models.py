@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from assaygrid.functions import dist
 from assaygrid.operators import clean, comparisons, normalize
-from assaygrid.operators.base import attach_scalars, div, top_k
+from assaygrid.operators.base import attach_scalars, div, quantiles, top_k
 
 
 def linear_model(matrix: DataFrame, design: DataFrame, factor: str, covariates: list[str]) -> DataFrame:
@@ -56,8 +56,9 @@ def censored_draws(matrix: DataFrame, samples: DataFrame, shift: float = 1.6, sc
     """Missing cells drawn from normal(mean - shift sd, scale sd) cut off at the feature's lower quartile, at least 0; the uniform
     numbers are hashes of (feature, sample, seed).  Features with fewer than two values get half their minimum."""
     stats = matrix.groupBy("feature").agg(
-        F.count("value").alias("_n"), F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"), F.min("value").alias("_lo"), F.percentile("value", F.lit(0.25)).alias("_q")
+        F.count("value").alias("_n"), F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"), F.min("value").alias("_lo")
     )
+    stats = stats.join(quantiles(matrix, ["feature"], "value", [0.25], ["_q"]), "feature", "left")
     dense = matrix.select("feature", "sample", "value").unionByName(clean.absent_cells(matrix, samples)).join(stats, "feature")
     u = (F.pmod(F.xxhash64("feature", "sample", F.lit(seed)), F.lit(2**52)) + 0.5) / float(2**52)
     mu, sd = F.col("_m") - shift * F.col("_s"), F.col("_s") * scale

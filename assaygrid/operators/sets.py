@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaygrid.functions import dist
-from assaygrid.operators.base import attach_scalars, count_if, div, join_same, numbered, p_adjust
+from assaygrid.operators.base import attach_scalars, count_if, div, join_same, numbered, p_adjust, running
 from assaygrid.session import cut_lineage
 
 
@@ -178,11 +178,10 @@ def enrichment_score(sets: DataFrame, scores: DataFrame, power: float = 1.0) ->
     """
     ranked = ranked_list(scores)
     hit = sets.select("set_id", "member").distinct().join(ranked, "member").withColumn("_w", F.pow(F.abs("score"), F.lit(power)))
-    w = Window.partitionBy("set_id")
-    run = w.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    t = hit.withColumn("_k", F.count(F.lit(1)).over(w)).withColumn("_sum", F.sum("_w").over(w)).withColumn("_h", F.row_number().over(w.orderBy("rank")))
+    sums = hit.groupBy("set_id").agg(F.count(F.lit(1)).alias("_k"), F.sum("_w").alias("_sum"))
+    t = join_same(running(hit, ["set_id"], ["rank"], "_w", "_cum", "_h"), sums, ["set_id"])
     miss = div(F.col("rank") - F.col("_h"), F.col("n_all") - F.col("_k"))
-    t = t.withColumn("_up", div(F.sum("_w").over(run), "_sum") - F.coalesce(miss, F.lit(0.0)))
+    t = t.withColumn("_up", div("_cum", "_sum") - F.coalesce(miss, F.lit(0.0)))
     t = t.withColumn("_down", F.col("_up") - div("_w", "_sum"))
     e = t.groupBy("set_id").agg(
         F.max("_k").alias("hits"), F.max(F.struct("_up", (-F.col("_h")).alias("h"))).alias("top"), F.min(F.struct("_down", F.col("_h").alias("h"))).alias("low")
