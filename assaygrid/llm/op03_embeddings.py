@@ -106,7 +106,10 @@ def embedding_duplicates(rows: DataFrame, least: float = 0.98, tile: int = 2048)
         return pd.DataFrame({"id": ids[keep], "n": out_links[keep], "to": out_to[keep]})
 
     found = cut_lineage(dealt.groupBy("label", "a", "b").applyInPandas(compare, "id bigint, n bigint, to bigint"))
-    comp = components(found.filter("id <> to"), "id", "to")
+    # a vec_id with several vectors is one node: it joins the classes of all of them
+    several = good.groupBy("vec_id").agg(F.count_distinct(F.xxhash64("label", "v")).alias("k")).filter("k > 1").select("vec_id")
+    shared = good.join(several, "vec_id").join(classes.select("label", "v", "id"), ["label", "v"]).select("id", F.col("vec_id").alias("to"))
+    comp = components(found.select("id", "to").union(shared).filter("id <> to"), "id", "to")
     # a class: its other members, and the rows of all classes it links to
     named = classes.select("label", F.col("v").alias("v"), "id", "m").join(found.groupBy("id").agg(F.sum("n").alias("n")), "id", "left").join(
         comp.withColumnRenamed("node", "id"), "id", "left"
