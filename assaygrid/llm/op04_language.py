@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaygrid.llm.base import mix, slices, table, text_bytes
+from assaygrid.operators.base import top_k
 from assaygrid.session import cut_lineage
 
 LENGTHS = (3, 5)
@@ -90,13 +91,17 @@ def build(langs: list, grams: list[np.ndarray], hashes: int = 3) -> Filters:
 def fit(docs: DataFrame, examples: int, grams: int, part: float, least: int) -> Filters | None:
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
     rows = docs.filter(held != 1).filter("lang is not null and text is not null").select("lang", "text")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.withColumn("at", F.xxhash64("text"))
+    told = cut_lineage(rows.select("lang", "at").distinct())  # equal texts of a language count once
+    sizes = {r.lang: r.n for r in told.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
     langs = sorted(sizes)
-    # the texts with the smallest hashes, about ``examples`` of each language
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, examples / n))])
-    rows = rows.filter((F.xxhash64("text") / 2.0**64 + 0.5) <= share[F.col("lang")])
+    # exactly the ``examples`` smallest hashes of each language, looked for under a threshold that somewhat more lie below
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, (1.2 * examples + 50) / n))])
+    few = told.filter((F.col("at") / 2.0**64 + 0.5) <= share[F.col("lang")])
+    few = few.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("at"))).filter(F.col("_n") <= examples).drop("_n")
+    rows = rows.join(F.broadcast(few), ["lang", "at"]).dropDuplicates(["lang", "at"]).select("lang", "text")  # ``examples`` hashes a language
 
     def count(batches):
         letters, held_ = letter_table(), {}
@@ -124,9 +129,10 @@ def fit(docs: DataFrame, examples: int, grams: int, part: float, least: int) ->
     rate = F.col("n") / F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, float(n))])[F.col("l")] if totals else F.lit(0.0)
     rated = counts.withColumn("rate", rate)
     top = rated.groupBy("g").agg(F.max("rate").alias("top"))
-    kept = rated.join(top, "g").filter((F.col("n") >= least) & (F.col("rate") >= part * F.col("top")))
-    order = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "g"))
-    kept = kept.withColumn("_n", order).filter(F.col("_n") <= grams).select("l", "g").toPandas()  # at most ``grams`` for each language
+    # where a language has fewer texts than ``least``, an n-gram needs only as many occurrences
+    need = F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (i, min(least, sizes[k]))])[F.col("l")]
+    kept = rated.join(top, "g").filter((F.col("n") >= need) & (F.col("rate") >= part * F.col("top")))
+    kept = top_k(kept, ["l"], [F.desc("n"), F.col("g")], grams).select("l", "g").toPandas()  # at most ``grams`` for each language
     return build(langs, [kept.g[kept.l == i].to_numpy(np.int64).view(np.uint64) for i in range(len(langs))])
 
 
