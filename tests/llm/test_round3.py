@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from assaygrid.llm import op03_embeddings, op04_language
 from assaygrid.llm import op11_conversations as op11
 from assaygrid.llm import op12_merkle as op12
 from assaygrid.llm import op13_quality as op13
@@ -269,3 +270,26 @@ def test_slices_give_the_same_score(monkeypatch):
     monkeypatch.setattr(op13, "SLICE_BYTES", 2048)
     cut = op13.score_bags(net, encode, data, offs)
     assert np.allclose(whole[0], cut[0], atol=2e-3) and np.array_equal(whole[1], cut[1]) and list(whole[1][1:]) == [1, 1]
+
+
+# -- 3 and 4: findings of the last round --------------------------------------------------------------------------------
+
+
+def test_one_vec_id_with_several_vectors_joins_their_classes(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(3, a, 0), (5, a, 0), (5, b, 0), (9, b, 0), (11, c, 0), (11, c, 1), (12, c, 1), (4, None, 0)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.component_id, r.kept) for r in op03_embeddings.embedding_duplicates(df).collect())
+    assert got == [(3, 3, True), (4, 4, True), (5, 3, False), (5, 3, False), (9, 3, False), (11, 11, True), (11, 11, True), (12, 11, False)]
+
+
+def test_copies_of_a_text_are_one_example(spark):
+    """A language of one text that is repeated often is learned beside one of many texts."""
+    rng = random.Random(1)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 7))) for _ in range(n))
+    one = text("zyxwv", 60)
+    for examples in (4000, 20):
+        rows = [(i, one, "zz") for i in range(1500)] + [(5000 + i, text("abcdeo", 40), "bb") for i in range(120)]
+        df = spark.createDataFrame([(i, t, g, "s", 1, "a", "b", "c", "d", "e") for i, t, g in rows], DOCS)
+        got = op04_language.identify_language(df, examples=examples).collect()
+        assert {r.lang_pred for r in got if r.doc_id < 5000} == {"zz"} and {r.lang_pred for r in got if r.doc_id >= 5000} == {"bb"}
