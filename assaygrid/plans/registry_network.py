@@ -344,3 +344,38 @@ def loading_enrichment(spark, sf):
 def fused_classifier(spark, sf):
     y = V.meta_vec(spark, sf).select("sample", (F.col("grp") == "A").cast("int").alias("y"))
     return rounded(factors.late_fusion(_blocks(spark, sf), y)[1])
+
+
+# -- permuted labels for metabolites and sets ------------------------------------------------------------------------------
+
+
+@query(None)
+def reporter_metabolites(spark, sf):
+    """Suppliers by the coherence of their orders, 20 permuted labels."""
+    g, m = _evidence(spark, sf, cascade.permuted_labels(_samples(spark, sf), 20))
+    scores = cascade.cascade_scores(_rules(spark, sf), _stoich(spark, sf), g, m, _abundance(spark, sf))
+    return rounded(cascade.reporter_metabolites(_stoich(spark, sf), scores))
+
+
+def _layer_evidence(spark, sf):
+    """z of every part in each return flag under 30 permuted labels."""
+    o = V.table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 24).cast("string").alias("sample"))
+    li = V.table(spark, sf, "lineitem").select("l_orderkey", F.struct(F.col("l_returnflag").alias("layer"), F.col("l_partkey").cast("string").alias("member")).alias("feature"), "l_extendedprice")
+    cells = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("feature", "sample").agg(F.sum("l_extendedprice").alias("value"))
+    z = cascade.permuted_evidence(cells, cascade.permuted_labels(_samples(spark, sf), 30), "A", "B")
+    return z.select("feature.layer", "feature.member", "perm", "z")
+
+
+def _activity(spark, sf):
+    flags = F.explode(F.array(*[F.lit(x) for x in "ANR"])).alias("layer")
+    return cascade.layer_activity(V.part_sets(spark, sf).select("set_id", "member", flags), _layer_evidence(spark, sf))
+
+
+@query(None)
+def layer_activity(spark, sf):
+    return rounded(_activity(spark, sf)[0])
+
+
+@query(None)
+def set_activity_classes(spark, sf):
+    return rounded(_activity(spark, sf)[1])
