@@ -90,3 +90,12 @@ def test_observed_scores_equal_rows(spark, evidence):
     rules, stoich, g, m, amount = evidence
     rows = cascade.cascade_scores(rules, stoich, long(g, "gene", "e"), long(m, "met", "z"), amount).filter("perm = 0").drop("perm")
     same_rows(cascade.observed_scores(rules, stoich, g, m, amount), rows, "rxn")
+
+
+def test_band_join_pairs_prices(spark):
+    from assaygrid.plans.registry_joins import QUERIES
+
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_partkey", "p_brand", "p_retailprice").collect()
+    want = {(a.p_partkey, b.p_partkey) for a in part for b in part if a.p_brand == b.p_brand and abs(a.p_retailprice - b.p_retailprice) <= 1.5 and a.p_partkey < b.p_partkey}
+    got = [(r.p_partkey, r.p_partkey_r) for r in QUERIES["band_join"](spark, "/root/testdata/sf0.001").collect()]
+    assert want and len(got) == len(want) and set(got) == want
