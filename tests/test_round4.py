@@ -99,3 +99,31 @@ def test_band_join_pairs_prices(spark):
     want = {(a.p_partkey, b.p_partkey) for a in part for b in part if a.p_brand == b.p_brand and abs(a.p_retailprice - b.p_retailprice) <= 1.5 and a.p_partkey < b.p_partkey}
     got = [(r.p_partkey, r.p_partkey_r) for r in QUERIES["band_join"](spark, "/root/testdata/sf0.001").collect()]
     assert want and len(got) == len(want) and set(got) == want
+
+
+def test_walks_over_several_parts_and_chunks(spark, monkeypatch):
+    from assaygrid.operators import network
+
+    for name, value in (("WALKERS", 3), ("CHUNK", 4), ("LINKS", 7), ("TILE_LINKS", 12)):
+        monkeypatch.setattr(network, name, value)
+    rng = np.random.default_rng(9)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 25, (60, 2))})
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "src string, dst string")
+    names = sorted({x for a, b in pairs if a != b for x in (a, b)})
+    at = {x: i for i, x in enumerate(names)}
+    link = np.zeros((len(names), len(names)))
+    for a, b in pairs:
+        if a != b:
+            link[at[a], at[b]] = link[at[b], at[a]] = 1
+    start = {x: float(rng.normal()) for x in names[:9]}
+    nodes, seeds = network.walk_seeds(edges, spark.createDataFrame([(f"n{x}", v) for x, v in start.items()], "node string, value double"), 4)
+    s = np.zeros((len(names), 5))
+    for r in seeds.collect():
+        s[at[int(r.node[1:])], r.perm] = r.value
+    want = np.linalg.solve(np.eye(len(names)) - 0.7 * link / link.sum(0), 0.3 * s / s.sum(0))
+    got = network.walks(edges, nodes, seeds, 5, tolerance=1e-9).collect()
+    assert len(got) == 2 * len(names)
+    for r in got:
+        for k in range(3):
+            perm = r.block * 3 + k
+            assert abs(r[f"r{k}"] - (want[at[int(r.node[1:])], perm] if perm < 5 else 0.0)) < 1e-9
