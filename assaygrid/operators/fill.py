@@ -11,7 +11,10 @@ from assaygrid.operators.base import numbered
 from assaygrid.session import cut_lineage
 
 TILE_VALUES = 2_000_000  # cells of a tile of samples
-TILE = 256  # samples in a tile at most
+TILE = 4096  # samples in a tile at most
+DONOR_TILES = 4  # a tile of donors is as many of these
+PAIRS = 2_000_000  # distances that a task holds at once
+NEAR = 64  # donors looked at first; all where these do not fill a gap
 
 
 def sample_vectors(matrix: DataFrame, samples: DataFrame, zero_missing: bool, most_features: int) -> tuple[DataFrame, DataFrame, int]:
@@ -53,49 +56,70 @@ def nearest_sample_impute(matrix: DataFrame, samples: DataFrame, k: int = 5, zer
 
     The distance of two samples is Euclidean over the features both have, scaled up to all features; samples without
     a common feature are no neighbours, equal distances go by sample.  Without any neighbour the feature's mean is
-    taken; a feature without values stays out.  Samples meet in tiles: a task holds two tiles and returns the k best
-    donors of every gap among one of them, so no table of sample pairs is made.
+    taken; a feature without values stays out.  Samples meet in tiles: a task holds a tile of samples and a larger one of
+    donors and returns the k best donors of every gap among these, so no table of sample pairs is made.
     """
     features, vectors, d = sample_vectors(matrix, samples, zero_missing, most_features)
     n = vectors.count()
     tiles = max(1, -(-n // max(1, min(TILE, TILE_VALUES // max(1, d)))))
-    tile = F.pmod(F.xxhash64("sample"), F.lit(tiles)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    lacking = vectors.filter(F.size("pos") < d).select("sample", "pos", "val", F.lit(True).alias("asks"), tile.alias("i"), every.alias("j"))
-    donors = vectors.select("sample", "pos", "val", F.lit(False).alias("asks"), tile.alias("j"), every.alias("i"))
+    groups = -(-tiles // DONOR_TILES)
+    at = lambda count: F.pmod(F.xxhash64("sample"), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    lacking = vectors.filter(F.size("pos") < d).select("sample", "pos", "val", F.lit(True).alias("asks"), at(tiles).alias("i"), every(groups).alias("j"))
+    donors = vectors.select("sample", "pos", "val", F.lit(False).alias("asks"), every(tiles).alias("i"), at(groups).alias("j"))
     best = pa.list_(pa.struct([("d", pa.float64()), ("sample", pa.string()), ("value", pa.float64())]))
 
     def compare(t: pa.Table) -> pa.Table:
         names = np.array(t.column("sample").to_pylist(), object)
-        asks = np.array(t.column("asks").to_pylist(), bool)
+        asks = t.column("asks").combine_chunks().to_numpy(zero_copy_only=False)
         x, have = np.zeros((len(names), d)), np.zeros((len(names), d), bool)
-        for r, (p, v) in enumerate(zip(t.column("pos").to_pylist(), t.column("val").to_pylist())):
-            at = np.array(p, np.int64) - 1
-            x[r, at], have[r, at] = v, True
+        places = t.column("pos").combine_chunks()
+        row, place = np.repeat(np.arange(len(names)), places.value_lengths().to_numpy()), places.flatten().to_numpy() - 1
+        x[row, place], have[row, place] = t.column("val").combine_chunks().flatten().to_numpy(), True
+        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
+        given, there = x[b], have[b]
         # centred, so that large values do not blur small distances
         x = np.where(have, x - (np.sum(x, axis=0) / np.maximum(1, have.sum(axis=0))), 0.0)
-        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
-        ma, mb = have[a].astype(float), have[b].astype(float)
-        common = ma @ mb.T
-        square = (x[a] ** 2) @ mb.T - 2 * x[a] @ x[b].T + ma @ (x[b] ** 2).T
-        dist = np.full(common.shape, np.inf)
-        np.divide(np.maximum(square, 0) * d, common, out=dist, where=common > 0)
-        raw = {r: dict(zip(p, v)) for r, (p, v) in enumerate(zip(t.column("pos").to_pylist(), t.column("val").to_pylist()))}
+        xb, mb = x[b], there.astype(float)
+        place = np.unique(names.astype(str), return_inverse=True)[1]
+        by_name = place[b]
         out_s, out_p, out_b = [], [], []
-        for r in range(len(a)):
-            order = np.lexsort((names[b].astype(str), dist[r])) if len(b) else b
-            order = order[np.isfinite(dist[r][order]) & (names[b][order] != names[a[r]])]
-            if not len(order):
-                continue
-            gaps = np.flatnonzero(~have[a[r]])
-            there = have[b[order]][:, gaps]
-            chosen = there & (np.cumsum(there, axis=0) <= k)
-            for c, f in enumerate(gaps):
-                rows = order[np.flatnonzero(chosen[:, c])]
-                if len(rows):
-                    out_s.append(names[a[r]])
-                    out_p.append(int(f) + 1)
-                    out_b.append([{"d": float(np.sqrt(dist[r, q])), "sample": names[b[q]], "value": raw[int(b[q])][int(f) + 1]} for q in rows])
+
+        def donors_of(dist, lacks, among):
+            """(gap, its k nearest donors) among some donors, equal distances by name."""
+            order = among[np.lexsort((by_name[among], dist[among]))]
+            has = there[order][:, lacks]
+            chosen = has & (np.cumsum(has, axis=0) <= k)
+            return [order[np.flatnonzero(chosen[:, c])] for c in range(len(lacks))]
+
+        step = max(1, PAIRS // max(1, len(b)))
+        for lo in range(0, len(a) if len(b) else 0, step):
+            part = a[lo : lo + step]
+            ma = have[part].astype(float)
+            common = ma @ mb.T
+            square = (x[part] ** 2) @ mb.T - 2 * x[part] @ xb.T + ma @ (xb**2).T
+            dist = np.full(common.shape, np.inf)
+            np.divide(np.maximum(square, 0) * d, common, out=dist, where=common > 0)
+            for r, q in enumerate(part):
+                one = dist[r]
+                one[by_name == place[q]] = np.inf
+                gaps = np.flatnonzero(~have[q])
+                fit = np.flatnonzero(np.isfinite(one))
+                if not len(fit):
+                    continue
+                near = fit
+                if len(fit) > NEAR:
+                    near = fit[one[fit] <= np.partition(one[fit], NEAR - 1)[NEAR - 1]]
+                rows = donors_of(one, gaps, near)
+                if len(near) < len(fit):
+                    few = [c for c in range(len(gaps)) if len(rows[c]) < k]
+                    for c, more in zip(few, donors_of(one, gaps[few], fit) if few else []):
+                        rows[c] = more
+                for f, from_ in zip(gaps, rows):
+                    if len(from_):
+                        out_s.append(names[q])
+                        out_p.append(int(f) + 1)
+                        out_b.append([{"d": float(np.sqrt(one[w])), "sample": names[b[w]], "value": float(given[w, f])} for w in from_])
         return pa.table({"sample": pa.array(out_s, pa.string()), "pos": pa.array(out_p, pa.int32()), "best": pa.array(out_b, best)})
 
     found = lacking.unionByName(donors).groupBy("i", "j").applyInArrow(compare, "sample string, pos int, best array<struct<d:double,sample:string,value:double>>")

@@ -127,3 +127,18 @@ def test_walks_over_several_parts_and_chunks(spark, monkeypatch):
         for k in range(3):
             perm = r.block * 3 + k
             assert abs(r[f"r{k}"] - (want[at[int(r.node[1:])], perm] if perm < 5 else 0.0)) < 1e-9
+
+
+def test_a_gap_travels_once_for_a_large_tile_of_donors(spark, monkeypatch):
+    from assaygrid.operators import fill
+
+    rng = np.random.default_rng(3)
+    cells = [(f"f{f}", f"s{s}", float(rng.normal())) for f in range(6) for s in range(90) if rng.random() < (0.06 if f == 0 else 0.8)]
+    matrix = spark.createDataFrame(cells, "feature string, sample string, value double")
+    samples = matrix.select("sample").distinct()
+    whole = fill.nearest_sample_impute(matrix, samples, 3)
+    monkeypatch.setattr(fill, "TILE", 20)
+    monkeypatch.setattr(fill, "NEAR", 4)
+    monkeypatch.setattr(fill, "DONOR_TILES", 2)
+    monkeypatch.setattr(fill, "PAIRS", 100)
+    same_rows(fill.nearest_sample_impute(matrix, samples, 3), whole, "feature", "sample")
