@@ -142,3 +142,29 @@ def test_a_gap_travels_once_for_a_large_tile_of_donors(spark, monkeypatch):
     monkeypatch.setattr(fill, "DONOR_TILES", 2)
     monkeypatch.setattr(fill, "PAIRS", 100)
     same_rows(fill.nearest_sample_impute(matrix, samples, 3), whole, "feature", "sample")
+
+
+def test_two_step_links_equal_brute_force(spark, monkeypatch):
+    from assaygrid.operators import pairs
+
+    monkeypatch.setattr(pairs, "LIST", 3)
+    monkeypatch.setattr(pairs, "PAIRS", 10)
+    rng = np.random.default_rng(5)
+    edges = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, 30, (70, 2))]
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    for most in (None, 5):
+        want = {(x, y) for m, l in near.items() if most is None or len(l) <= most for x in l for y in l if x < y and y not in near[x]}
+        got = [(r.f1, r.f2) for r in pairs.two_step_links(spark.createDataFrame(edges, "src string, dst string"), most).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_few_modules_are_broadcast(spark, monkeypatch):
+    from assaygrid.operators import modules
+
+    t = spark.createDataFrame([(i % 3, i) for i in range(50)], "k int, v int")
+    plan = lambda n: (monkeypatch.setattr(modules, "FEW", n), t.join(modules.few(t.select("k").distinct()), "k")._jdf.queryExecution().optimizedPlan().toString())[1]
+    assert "broadcast" in plan(3) and "broadcast" not in plan(2)
