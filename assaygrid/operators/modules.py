@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from assaygrid.operators.base import count_if, div, mid_ranks, numbered, quantiles
 from assaygrid.session import cut_lineage
 
+FEW = 100_000  # rows of a table that is broadcast
 SMALL_GROUP = 5  # below this many samples in a group resampling says nothing
 MODULE = ["set_a", "set_b", "class"]
 PAIR = [*MODULE, "f1", "f2", "sign"]
@@ -65,6 +66,12 @@ def _by_module(r: DataFrame, a: str, b: str, keys: list[str], columns: list[str]
     return t.groupBy(*MODULE, *keys).agg(*[F.avg(F.coalesce(F.col("sign") * F.col(c), F.lit(0.0))).alias(c) for c in columns])
 
 
+def few(table: DataFrame) -> DataFrame:
+    """``table`` to be broadcast up to ``FEW`` rows: then its keys may be few, and a plain join would gather all rows of a key in one task."""
+    table = cut_lineage(table)
+    return F.broadcast(table) if table.count() <= FEW else table
+
+
 def score_modules(
     matrix: DataFrame, pairs: DataFrame, a: str, b: str, rounds: int = 200, robust: float = 0.2, stable: float = 0.8, share: float = 0.2,
     batch_least: int = 5, seed: int = 1, max_pairs: int | None = None, max_modules: int | None = None,
@@ -89,19 +96,19 @@ def score_modules(
     x = cut_lineage(mid_ranks(x, ["feature", "grp"], "v", "rank"))
     names = m.select(F.explode(F.array("f1", "f2")).alias("feature"), *MODULE).distinct()
     # samples far from their group in any feature of a module
-    q = quantiles(x, ["feature", "grp"], "v", [0.5], ["med"])
+    q = few(quantiles(x, ["feature", "grp"], "v", [0.5], ["med"]))
     off = x.join(q, ["feature", "grp"]).withColumn("off", F.abs(F.col("v") - F.col("med")))
     mad = quantiles(off, ["feature", "grp"], "off", [0.5], ["mad"])
-    far = off.join(mad.filter("mad > 0"), ["feature", "grp"]).withColumn("far", F.col("off") / (1.4826 * F.col("mad"))).filter("far > 4")
+    far = off.join(few(mad.filter("mad > 0")), ["feature", "grp"]).withColumn("far", F.col("off") / (1.4826 * F.col("mad"))).filter("far > 4")
     sizes = {r.grp: r.n for r in x.select("sample", "grp").distinct().groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     na, nb = sizes.get(a, 0), sizes.get(b, 0)
     small = min(na, nb) < SMALL_GROUP
     most = F.when(F.col("grp") == a, max(1, int(share * na))).otherwise(max(1, int(share * nb)))
-    worst = names.join(far, "feature").groupBy(*MODULE, "grp", "sample").agg(F.max("far").alias("far"))
+    worst = far.join(few(names), "feature").groupBy(*MODULE, "grp", "sample").agg(F.max("far").alias("far"))
     drop = worst.withColumn("_n", F.row_number().over(Window.partitionBy(*MODULE, "grp").orderBy(F.desc("far"), F.desc("sample")))).filter(F.col("_n") <= most)
     drop = cut_lineage(drop.select(*MODULE, "sample", F.lit(True).alias("out")))
     one = lambda side, f: x.select(F.col("feature").alias(f), "sample", *(["grp", "batch"] if side == "x" else []), F.col("v").alias(side), F.col("rank").alias(f"r{side}"), F.col("imp").alias(f"i{side}"))
-    cells = m.select(*PAIR).join(one("x", "f1"), "f1").join(one("y", "f2"), ["f2", "sample"]).join(drop, [*MODULE, "sample"], "left")
+    cells = one("x", "f1").join(few(m.select(*PAIR)), "f1").join(one("y", "f2"), ["f2", "sample"]).join(drop, [*MODULE, "sample"], "left")
     cells = cut_lineage(cells.withColumn("whole", ~F.col("ix") & ~F.col("iy")).withColumn("stays", F.col("out").isNull()))
     w = lambda cond: F.when(cond, 1.0).otherwise(0.0)
     cells = cells.withColumns({"w": F.lit(1.0), "w_stay": w(F.col("stays")), "w_whole": w(F.col("whole"))})
