@@ -99,6 +99,37 @@ def test_peak_numbers_equal_brute_force(spark):
     assert len(odd) == 4 and len({(r.name, r.sample, r.peak) for r in odd}) == 4
 
 
+def test_places_of_many_rows_at_once():
+    """Against the rule in lists: least total, then the earlier references; more than 62 references, ties and endless times among them."""
+
+    def one(times, refs):
+        state = [(0.0, [])] + [(np.inf, [])] * len(times)
+        for j, r in enumerate(refs):
+            state = [state[0]] + [min(state[i], (state[i - 1][0] + abs(times[i - 1] - r), state[i - 1][1] + [j])) for i in range(1, len(state))]
+        return state[-1][1]
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in (130, 70, 64, 9, 6, 5, 4, 4, 3, 1, 0):
+        m = int(rng.integers(0, n + 1)) if n else 0
+        rows.append((np.sort(rng.integers(0, max(2, n // 2), m).astype(float)), np.sort(rng.integers(0, max(2, n // 2), n).astype(float))))
+    rows[6] = (np.array([1.0, np.inf]), rows[6][1])
+    m, n = (np.array([len(r[i]) for r in rows]) for i in (0, 1))
+    times, refs = np.zeros((len(rows), m.max())), np.zeros((len(rows), n.max()))
+    for k, (t, r) in enumerate(rows):
+        times[k, : len(t)], refs[k, : len(r)] = t, r
+    row, ref = peaks.assigned_places(times, m, refs, n)
+    assert [ref[row == k].tolist() for k in range(len(rows))] == [one(*r) for r in rows]
+
+
+def test_peaks_are_numbered_without_a_loop_in_expressions(spark):
+    rows = [("x", s, float(p) + d, "note") for s, d in (("s", 0.0), ("t", 0.3), ("u", -0.2)) for p in range(70) if s != "u" or p % 7]
+    df = peaks.number_peaks(spark.createDataFrame(rows + [("y", "s", None, None), (None, "s", float("nan"), "z")], "name string, sample string, rt double, a string"))
+    assert "aggregate(" not in df._jdf.queryExecution().toString().lower().replace("hashaggregate(", "").replace("sortaggregate(", "")
+    got = {(r.name, r.sample, r.rt): r for r in df.collect() if r.name == "x"}
+    assert len(got) == len(rows) and all(r.peak == round(rt) + 1 and r.n_peaks == 70 for (_, _, rt), r in got.items())
+
+
 def test_one_peak_stays(spark):
     cols = "key string, place int, method string, compound string, peak string, co_elutes string, detected int, n_samples int, labelled int, median_area double, warnings int"
     rows = [
