@@ -92,6 +92,29 @@ def test_observed_scores_equal_rows(spark, evidence):
     same_rows(cascade.observed_scores(rules, stoich, g, m, amount), rows, "rxn")
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_repeated_sides_travel_once(spark, evidence, monkeypatch, small):
+    rules, stoich, g, m, amount = evidence
+    if not small:
+        monkeypatch.setattr(cascade, "BROADCAST_BYTES", 0)
+    twice = stoich.union(stoich).union(stoich.withColumn("coef", F.col("coef") * 2))
+    t = cascade.observed_scores(rules, twice, g, m, amount)
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(rxn" not in plan and "Keys: [rxn" not in plan  # a shuffle of its own to tell the sides apart
+    same_rows(t, cascade.observed_scores(rules, stoich, g, m, amount), "rxn")
+
+
+def test_orders_are_met_once_for_parts_and_suppliers(spark):
+    from assaygrid.plans import registry_network as registry
+
+    t = registry._amounts(spark, "/root/testdata/sf0.001")
+    assert t._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    both = t.groupBy(F.substring("feature", 1, 1).alias("k")).agg(F.sum("value").alias("v"), F.countDistinct("feature").alias("n")).collect()
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    sales, parts, suppliers = li.agg(F.sum("l_extendedprice"), F.countDistinct("l_partkey"), F.countDistinct("l_suppkey")).first()
+    assert {r.k: r.n for r in both} == {"g": parts, "m": suppliers} and all(r.v == pytest.approx(sales) for r in both)
+
+
 def test_band_join_pairs_prices(spark):
     from assaygrid.plans.registry_joins import QUERIES
 
