@@ -86,6 +86,19 @@ def test_calibration_of_arrays_equals_rows(spark, evidence, monkeypatch, weighte
     same_rows(cascade.calibrated_arrays(rules, stoich, g, m, 20, amount), cascade.calibrated_reactions(label, topology), "rxn")
 
 
+def test_four_families_are_adjusted_at_once(spark, evidence, monkeypatch):
+    rules, stoich, g, m, amount = evidence
+    calls, plain = [], cascade.p_adjust
+    monkeypatch.setattr(cascade, "p_adjust", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    t = cascade.calibrated_arrays(rules, stoich, g, m, 20, amount).toPandas()
+    assert len(calls) == 1  # each one wrote and joined the whole table
+    for k in ("label", "topology", "balance", "enzyme"):
+        p = t[f"p_{k}"].dropna().sort_values(ascending=False)
+        want = (p * len(p) / np.arange(len(p), 0, -1)).cummin().clip(upper=1)
+        assert len(p) and t[f"q_{k}"].notna().sum() == len(p)
+        assert t[f"q_{k}"][want.index].to_numpy() == pytest.approx(want.to_numpy(), rel=1e-9)
+
+
 def test_observed_scores_equal_rows(spark, evidence):
     rules, stoich, g, m, amount = evidence
     rows = cascade.cascade_scores(rules, stoich, long(g, "gene", "e"), long(m, "met", "z"), amount).filter("perm = 0").drop("perm")
