@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from assaygrid.operators import cascade
+from assaygrid.operators import cascade, joins
+from assaygrid.plans.registry_network import QUERIES
 from assaygrid.session import cut_lineage
 
 
@@ -29,3 +30,12 @@ def test_layer_activity_never_broadcasts_sets(spark, plans):
     assert classes.count() >= 3
     joins = [p for p in plans if "member" in p and "Join" in p]
     assert joins and not any("BroadcastHashJoin" in p for p in joins)
+
+
+def test_band_pairs_against_brute_force(spark):
+    """Equal positions, the edge of the tolerance, repeated names, NULL and NaN; the pairs are made by many tasks."""
+    rows = [(i % 40, "ab"[i % 2] if i % 7 else None, None if i % 11 == 0 else float("nan") if i % 13 == 0 else (i * i % 23) * 0.5) for i in range(90)]
+    got = joins.band_pairs(spark.createDataFrame(rows, "id int, key string, rt double"), ("key",), "rt", 1.5, "id").collect()
+    want = [(k, i, j) for i, k, x in rows for j, m, y in rows if k is not None and k == m and i < j and None not in (x, y) and abs(x - y) <= 1.5]
+    assert sorted((r.key, r.id, r.id_r) for r in got) == sorted(want) and len(want) > 100
+    assert QUERIES["band_join"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
