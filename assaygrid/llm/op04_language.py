@@ -28,6 +28,7 @@ from assaygrid.session import cut_lineage
 
 LENGTHS = (3, 5)
 BLANK = 32
+PIECE = 1 << 16  # bytes of text predicted at once: their n-grams stay in the processor's cache
 
 
 def letter_table() -> np.ndarray:
@@ -40,51 +41,56 @@ def letter_table() -> np.ndarray:
 
 def gram_codes(data: np.ndarray, offs: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed n-grams of all rows and their rows, in order of rows for each length; runs of blanks count as one."""
-    rows = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    rows = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(offs))
     b = letters[data]
     keep = np.ones(len(b), bool)
     keep[1:] = (b[1:] != BLANK) | (b[:-1] != BLANK) | (rows[1:] != rows[:-1])
     b, rows = b[keep].astype(np.uint64), rows[keep]
-    codes, where = [], []
-    for n in LENGTHS:
-        m = len(b) - n + 1
-        if m <= 0:
-            continue
-        x = np.full(m, n, np.uint64)
-        for j in range(n):
-            x = (x << np.uint64(8)) | b[j : j + m]
-        ok = rows[:m] == rows[n - 1 :]
-        codes.append(x[ok])
-        where.append(rows[:m][ok])
-    return (np.concatenate(codes), np.concatenate(where)) if codes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    codes, where, x = [], [], b
+    for n in range(2, min(max(LENGTHS), len(b)) + 1):  # each length from the one before
+        x = (x[:-1] << np.uint64(8)) | b[n - 1 :]
+        if n in LENGTHS:
+            ok = rows[: len(x)] == rows[n - 1 :]
+            codes.append(x[ok] | np.uint64(n << 8 * n))
+            where.append(rows[: len(x)][ok])
+    return (np.concatenate(codes), np.concatenate(where)) if codes else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
 
 class Filters(NamedTuple):
     langs: list
-    cells: np.ndarray  # (cells, words): bit l % 64 of word l // 64 belongs to language l
+    cells: np.ndarray  # (cells, bytes): bit l % 8 of byte l // 8 belongs to language l
     hashes: int
     false_rate: np.ndarray
 
     def masks(self, codes: np.ndarray) -> np.ndarray:
-        """(n-grams, words): languages that contain each n-gram."""
-        h, out, n = mix(codes), None, np.uint64(len(self.cells) - 1)
-        for _ in range(self.hashes):
-            got = self.cells[(h & n).astype(np.int64)]
-            out = got if out is None else out & got
+        """(n-grams, bytes): languages that contain each n-gram."""
+        h, n = mix(codes), np.uint64(len(self.cells) - 1)
+        out = self.cells.take((h & n).view(np.int64), axis=0)
+        for _ in range(1, self.hashes):
             h = mix(h + np.uint64(1))
+            out &= self.cells.take((h & n).view(np.int64), axis=0)
         return out
 
+    def hits(self, codes: np.ndarray, where: np.ndarray, rows: int) -> np.ndarray:
+        """(rows, languages): how many of a row's n-grams each language contains."""
+        out = []
+        for i, byte in enumerate(self.masks(codes).T):
+            bits = min(8, len(self.langs) - 8 * i)
+            n = np.bincount((where.astype(np.int64) << bits) | byte, minlength=rows << bits).reshape(rows, -1)  # by the set of languages
+            out.append(n @ ((np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1))
+        return np.concatenate(out, axis=1)
+
 
 def build(langs: list, grams: list[np.ndarray], hashes: int = 3) -> Filters:
     """Filters with at least eight cells for each n-gram of the largest language."""
     size = 1 << max(10, int(8 * max([1, *map(len, grams)]) - 1).bit_length())
-    f = Filters(langs, np.zeros((size, -(-len(langs) // 64) or 1), np.uint64), hashes, np.zeros(len(langs)))
+    f = Filters(langs, np.zeros((size, -(-len(langs) // 8) or 1), np.uint8), hashes, np.zeros(len(langs)))
     for i, g in enumerate(grams):
-        h, bit = mix(g), np.uint64(1 << (i % 64))
+        h, bit = mix(g), np.uint8(1 << (i % 8))
         for _ in range(hashes):
-            np.bitwise_or.at(f.cells[:, i // 64], (h & np.uint64(size - 1)).astype(np.int64), bit)
+            np.bitwise_or.at(f.cells[:, i // 8], (h & np.uint64(size - 1)).astype(np.int64), bit)
             h = mix(h + np.uint64(1))
-        f.false_rate[i] = np.mean((f.cells[:, i // 64] & bit) != 0) ** hashes
+        f.false_rate[i] = np.mean((f.cells[:, i // 8] & bit) != 0) ** hashes
     return f
 
 
@@ -143,7 +149,8 @@ def identify_language(docs: DataFrame, examples: int = 4000, grams: int = 50_000
     def run(batches):
         letters = letter_table()
         for batch in batches:
-            for piece in slices(batch, "text"):
+            all_names, all_scores = [], [np.zeros(0)]
+            for piece in slices(batch, "text", PIECE):
                 data, offs = text_bytes(piece.column("text"))
                 rows = piece.num_rows
                 plain = np.concatenate([[0], np.cumsum((letters[data] != BLANK) & (data < 128))])
@@ -154,18 +161,16 @@ def identify_language(docs: DataFrame, examples: int = 4000, grams: int = 50_000
                 if filters is not None and some.any():
                     codes, where = gram_codes(data, offs, letters)
                     n = np.bincount(where, minlength=rows)
-                    masks = filters.masks(codes)
-                    hits = np.stack([
-                        np.bincount(where, (masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1), rows) for i in range(len(filters.langs))
-                    ], axis=1)
-                    f = filters.false_rate
+                    hits, f = filters.hits(codes, where, rows), filters.false_rate
                     right = np.maximum(0, (hits - n[:, None] * f) / np.maximum(1e-9, 1 - f))
                     best = right.argmax(axis=1)
                     whole = right.sum(axis=1)
                     for i in np.flatnonzero(some):
                         names[i] = filters.langs[best[i]]
                         scores[i] = right[i, best[i]] / whole[i] if whole[i] > 0 else 0.0
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+                all_names += names
+                all_scores.append(scores)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(all_names, pa.string()), pa.array(np.concatenate(all_scores))], ["doc_id", "lang_pred", "score"])
 
     out = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
